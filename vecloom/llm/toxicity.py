@@ -37,8 +37,10 @@ NEGATION_REACH, TARGET_REACH = 3, 4
 #: Lengths in characters of the stems that may be learnt.
 STEMS = (3, 4, 5, 6, 7, 8)
 #: Labelled rows used for fitting, at most about this many.
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 4_000
 CHANNELS = 16
+#: Words added to each text's length where emissions are taken by length, so that one match in a short text isn't much.
+BASE_WORDS = 50
 
 
 class Transducer:
@@ -77,8 +79,8 @@ GRAMMAR = _emit().compose(_reach(NEGATION, NEGATION_REACH)).compose(_since(REPOR
 _STEP, _FLAG = GRAMMAR.step.tolist(), GRAMMAR.flag.tolist()
 
 
-def read_clause(symbols: list[int], weights: list[float], out: np.ndarray) -> None:
-    """Add what the clause's words emit to the 16 channels: 8 * threat + 4 * negated + 2 * reported + targeted."""
+def read_clause(symbols: list[int], weights: list[float], rates: list[float], out: np.ndarray) -> None:
+    """Add what the clause's words emit to the 16 channels, 8 * threat + 4 * negated + 2 * reported + targeted, and their rates to the last place."""
     state = 0
     hits = []
     for i, s in enumerate(symbols):
@@ -90,23 +92,27 @@ def read_clause(symbols: list[int], weights: list[float], out: np.ndarray) -> No
         if not channel & 1 and TARGET in symbols[i + 1 : i + 1 + TARGET_REACH]:
             channel |= 1
         out[channel] += weights[i]
+        out[CHANNELS] += rates[i] * (0.5 if channel & 4 else 1.0) * (0.6 if channel & 2 else 1.0)
 
 
 @dataclass
 class Lexicon:
-    """Symbols and weights of whole words, and of stems by their length in characters."""
+    """Symbol, weight and rate of whole words, and of stems by their length in characters.
 
-    words: dict[str, tuple[int, float]] = field(default_factory=dict)
-    stems: dict[str, tuple[int, float]] = field(default_factory=dict)
+    The weight tells how sure one occurrence is; the rate, how much more of a toxic text's words it makes up than of a clean one's.
+    """
+
+    words: dict[str, tuple[int, float, float]] = field(default_factory=dict)
+    stems: dict[str, tuple[int, float, float]] = field(default_factory=dict)
 
-    def compile(self) -> list[tuple[int, T.HashSet, np.ndarray, np.ndarray]]:
-        """(stem length or 0, hashes, symbols, weights), aligned."""
+    def compile(self) -> list[tuple[int, T.HashSet, np.ndarray, np.ndarray, np.ndarray]]:
+        """(stem length or 0, hashes, symbols, weights, rates), aligned."""
         out = []
         for length in (0, *sorted({len(s) for s in self.stems})):
             entries = {T.hash_of(k): v for k, v in (self.words.items() if not length else ((k, v) for k, v in self.stems.items() if len(k) == length))}
             keys = T.HashSet(np.array(list(entries), np.uint64))
             values = [entries[int(k)] for k in keys.keys]
-            out.append((length, keys, np.array([v[0] for v in values], np.int8), np.array([v[1] for v in values])))
+            out.append((length, keys, np.array([v[0] for v in values], np.int8), np.array([v[1] for v in values]), np.array([v[2] for v in values])))
         return out
 
 
@@ -127,17 +133,17 @@ def _tokens(column: pa.Array):
 
 
 def channels(column: pa.Array, compiled: list) -> np.ndarray:
-    """[texts, 16] sums of what their clauses emit."""
+    """[texts, 17] sums of what their clauses emit, and at last the rates' sum for a hundred words."""
     data, offsets, start, end, first = _tokens(column)
-    out = np.zeros((len(offsets) - 1, CHANNELS))
+    out = np.zeros((len(offsets) - 1, CHANNELS + 1))
     if not len(start):
         return out
     prefix = T.Prefix(data)
-    symbol, weight = np.zeros(len(start), np.int8), np.zeros(len(start))
+    symbol, weight, rate = np.zeros(len(start), np.int8), np.zeros(len(start)), np.zeros(len(start))
     lead = np.flatnonzero((data & 0xC0) != 0x80)
     at = np.searchsorted(lead, start)
     lead = np.r_[lead, np.full(max(STEMS) + 1, len(data))]
-    for length, keys, symbols, weights in compiled:
+    for length, keys, symbols, weights, rates in compiled:
         if not len(keys):
             continue
         if length:
@@ -150,9 +156,10 @@ def channels(column: pa.Array, compiled: list) -> np.ndarray:
             word = np.flatnonzero(found >= 0)
             found = found[word]
         # of the entries that a word matches, the weightiest counts
-        better = (weights[found] > weight[word]) | (symbol[word] == OTHER)
+        better = (weights[found] + rates[found] > weight[word] + rate[word]) | (symbol[word] == OTHER)
         symbol[word[better]] = symbols[found[better]]
         weight[word[better]] = weights[found[better]]
+        rate[word[better]] = rates[found[better]]
     hits = np.flatnonzero((symbol == INSULT) | (symbol == THREAT))
     if not len(hits):
         return out
@@ -161,44 +168,84 @@ def channels(column: pa.Array, compiled: list) -> np.ndarray:
     doc = np.searchsorted(first, hits, "right") - 1
     for clause, d in dict.fromkeys(zip((np.searchsorted(bound, hits, "right") - 1).tolist(), doc.tolist())):
         a, b = bound[clause], bound[clause + 1]
-        read_clause(symbol[a:b].tolist(), weight[a:b].tolist(), out[d])
+        read_clause(symbol[a:b].tolist(), weight[a:b].tolist(), rate[a:b].tolist(), out[d])
+    out[:, CHANNELS] *= 100 / (np.diff(first) + BASE_WORDS)
     return out
 
 
+def _marks(text: str) -> tuple[Counter, int]:
+    """How often (0, word) and (length, stem) occur in a text; its number of words."""
+    data, _, start, end, _ = _tokens(pa.array([text]))
+    raw = data.tobytes()
+    out: Counter = Counter()
+    for w, k in Counter(raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist())).items():
+        out[0, w] += k
+        for length in STEMS:
+            if len(w) >= length:
+                out[length, w[:length]] += k
+    return out, len(start)
+
+
 def learn_lexicon(rows: list[tuple[str, int]]) -> Lexicon:
-    """Seeds, reweighted by the labels, with the words and stems that mark toxic rows: by G-test, and by log odds at least 2.5."""
-    lexicon = Lexicon({w: (s, _SEED_WEIGHT.get(s, 0.0)) for s, text in _SEEDS.items() for w in text.split()})
-    counts = [Counter(), Counter()]
-    n = [0, 0]
-    seen = set()
-    for text, toxic in rows:
-        if text in seen:
-            continue  # copies would make chance words look significant
-        seen.add(text)
-        data, _, start, end, _ = _tokens(pa.array([text]))
-        raw = data.tobytes()
-        found = set()
-        for w in {raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist())}:
-            found.add((0, w))
-            found.update((k, w[:k]) for k in STEMS if len(w) >= k)
-        n[toxic] += 1
-        counts[toxic].update(found)
-    if not n[1] or not n[0]:
+    """Seeds, reweighted by the labels, with the words and stems that mark toxic rows.
+
+    A mark must pass a G-test. It gets a weight if its log odds less a standard error reach a bound and it is rare in clean rows, and a rate if
+    its share of a text's words is as much higher in toxic rows. Marks are then taken from the surest on; one is left out if a mark taken
+    says the same, or if it is far rarer than the commonest and most of its rows have one already: such a mark comes with long or copied toxic
+    rows, not with toxicity.
+    """
+    lexicon = Lexicon({w: (s, _SEED_WEIGHT.get(s, 0.0), _SEED_WEIGHT.get(s, 0.0)) for s, text in _SEEDS.items() for w in text.split()})
+    texts = [sorted({t for t, q in rows if q == y}) for y in (0, 1)]  # copies would make chance words look significant
+    n = [len(x) for x in texts]
+    if not n[0] or not n[1]:
         return lexicon
+    seeds = {(0, w) for w, (s, *_) in lexicon.words.items() if s in _SEED_WEIGHT}
+    toxic: Counter = Counter()
+    for t in texts[1]:
+        toxic.update(_marks(t)[0].keys())
     least = max(4, 0.01 * n[1])
-    for (length, w), a in counts[1].items():
-        if a < least:
-            continue
-        c = counts[0][length, w]
-        share = (a + c) / (n[0] + n[1])
-        g = 2 * (a * np.log(a / (n[1] * share)) + (c * np.log(c / (n[0] * share)) if c else 0))
+    toxic = Counter({k: a for k, a in toxic.items() if a >= least})
+    clean: Counter = Counter()
+    share = [Counter(), Counter()]
+    held: dict[tuple[int, str], list[int]] = {m: [] for m in toxic}
+    for y in (0, 1):
+        for i, t in enumerate(texts[y]):
+            found, words = _marks(t)
+            for m, k in found.items():
+                if m in toxic or m in seeds:
+                    share[y][m] += k / (words + BASE_WORDS) / n[y]
+                    if y:
+                        held.setdefault(m, []).append(i)
+                    else:
+                        clean[m] += 1
+    marks = []
+    for (length, w), a in toxic.items():
+        c = clean[length, w]
+        both = (a + c) / (n[0] + n[1])
+        g = 2 * (a * np.log(a / (n[1] * both)) + (c * np.log(c / (n[0] * both)) if c else 0))
+        error = np.sqrt(1 / (a + 0.5) + 1 / (c + 0.5))
         odds = np.log((a + 0.5) / (n[1] + 1)) - np.log((c + 0.5) / (n[0] + 1))
-        if g >= 18 and odds >= 2.5 and not (length == 0 and lexicon.words.get(w, (INSULT,))[0] in (TARGET, NEGATION, REPORT)):
-            symbol = lexicon.words.get(w, (INSULT, 0))[0] if not length else INSULT
-            (lexicon.stems if length else lexicon.words)[w] = (symbol if symbol in (INSULT, THREAT) else INSULT, float(odds))
-    for w, (s, weight) in list(lexicon.words.items()):
-        if s in _SEED_WEIGHT and counts[0][0, w] > counts[1][0, w]:
-            lexicon.words[w] = (s, min(weight, 0.5))
+        rate = np.log((share[1][length, w] + 0.002 / n[1]) / (share[0][length, w] + 0.002 / n[0]))
+        weight = odds if odds - error >= 2.75 and c <= max(0.5, 0.0015 * n[0]) else 0.0
+        rate = rate if rate - error >= 2.25 else 0.0
+        if odds > 0 and g >= 18 and (weight or rate) and lexicon.words.get(w, (INSULT,))[0] in (INSULT, THREAT):
+            marks.append((-round(g, 6), -(length or 99), w, length, a, float(weight), float(rate)))
+    marks.sort()
+    covered = np.zeros(n[1], bool)
+    taken: list[tuple[str, np.ndarray]] = []
+    most = max((m[4] for m in marks), default=0)
+    for *_, w, length, a, weight, rate in marks:
+        rows_of = np.array(held[length, w])
+        related = any((w.startswith(v) or v.startswith(w)) and len(np.intersect1d(rows_of, r)) >= 0.8 * a for v, r in taken)
+        if related or (a < 0.25 * most and covered[rows_of].mean() > 0.5):
+            continue
+        taken.append((w, rows_of))
+        covered[rows_of] = True
+        symbol = lexicon.words[w][0] if (0, w) in seeds and not length else INSULT
+        (lexicon.stems if length else lexicon.words)[w] = (symbol, weight, rate)
+    for _, w in seeds:
+        if clean[0, w] > toxic[0, w]:
+            lexicon.words[w] = (lexicon.words[w][0], min(lexicon.words[w][1], 0.5), min(lexicon.words[w][2], 0.5))
     return lexicon
 
 
@@ -213,19 +260,22 @@ class Model:
 
 
 def saturate(sums: np.ndarray) -> np.ndarray:
-    return 1 - np.exp(-sums / 2.5)
+    """Sums pressed into [0, 1]; the rates' share into [0, 2]."""
+    out = 1 - np.exp(-sums / 4)
+    out[:, CHANNELS] = np.minimum(sums[:, CHANNELS], 12) / 6
+    return out
 
 
 def prior() -> np.ndarray:
     """The grammar's own coefficients: negation and report soften, a target sharpens, a threat needs one."""
-    out = np.zeros(CHANNELS)
+    out = np.zeros(CHANNELS + 1)
     for c in range(CHANNELS):
         out[c] = (7.0 if not c & 8 else 1.0 if not c & 1 else 7.0) + (1.0 if c & 1 else 0.0)
         out[c] *= (0.5 if c & 4 else 1.0) * (0.6 if c & 2 else 1.0)
     return out
 
 
-def fit(rows: list[tuple[str, int]], rounds: int = 300, rate: float = 2.0, pull: float = 0.5) -> Model:
+def fit(rows: list[tuple[str, int]], rounds: int = 1000, rate: float = 2.0, pull: float = 0.5) -> Model:
     """The lexicon, then coefficients by logistic regression pulled towards :func:`prior`. Without rows: the grammar alone."""
     lexicon = learn_lexicon(rows)
     w0, b = prior(), -3.5
@@ -247,7 +297,7 @@ def _score(model: Model):
         compiled = model.lexicon.compile()
         for b in T.blocks(batches):
             sums = channels(b.column("text"), compiled)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(sums)), pa.array(sums[:, :8].sum(1)), pa.array(sums[:, 8:].sum(1))], ["doc_id", "score", "insult_weight", "threat_weight"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(sums)), pa.array(sums[:, :8].sum(1)), pa.array(sums[:, 8:CHANNELS].sum(1))], ["doc_id", "score", "insult_weight", "threat_weight"])
 
     return run
 
