@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vec import col, dot, doubles, total
+from .vec import col, dot, doubles, let, total
 
 BITS = {"float": 32, "half": 16, "qint8": 8, "qint4": 4, "qint2": 2, "qint1": 1}
 
@@ -76,14 +76,27 @@ def codes(v: str | Column, spec: QuantSpec) -> Column:
 
 def pack(c: str | Column, bits: int) -> Column:
     """Codes to bytes, as ints 0..255: code j goes to byte j // (8 / bits), the first in the lowest bits. The length must fill whole bytes."""
-    per, a = 8 // bits, col(c)
-    part = lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(per - 1)), F.lit(0), lambda acc, j: (acc + F.get(a, i * per + j) * F.pow(F.lit(2), j * bits).cast("int")).cast("int"))
-    return F.when(F.size(a) % per != 0, F.raise_error(F.lit("dimensions must fill whole bytes")).cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), (F.size(a) / per).cast("int") - 1), part))
+    per = 8 // bits
+
+    def part(a: Column):
+        place = lambda j, i: F.shiftleft(F.get(a, i * per + j), j * bits)
+
+        def byte(i: Column) -> Column:
+            out = place(0, i)
+            for j in range(1, per):
+                out = out.bitwiseOR(place(j, i))
+            return out
+
+        return byte
+
+    whole = F.when(F.size(col(c)) % per == 0, col(c)).otherwise(F.raise_error(F.lit("dimensions must fill whole bytes")).cast("array<int>"))
+    return let(whole, lambda a: F.transform(F.sequence(F.lit(0), (F.size(a) / per).cast("int") - 1), part(a)))
 
 
 def unpack(packed: str | Column, bits: int) -> Column:
-    per, p, mask = 8 // bits, col(packed), (1 << bits) - 1
-    return F.transform(F.sequence(F.lit(0), F.size(p) * per - 1), lambda j: (F.floor(F.get(p, (j / per).cast("int")) / F.pow(F.lit(2), (j % per) * bits)).cast("int")) % (mask + 1))
+    per, mask = 8 // bits, (1 << bits) - 1
+    split = lambda byte: F.array(*[F.shiftright(byte, j * bits).bitwiseAND(F.lit(mask)) for j in range(per)])
+    return F.flatten(F.transform(col(packed), split))
 
 
 def quantize(v: str | Column, spec: QuantSpec) -> Column:

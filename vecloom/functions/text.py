@@ -76,8 +76,7 @@ def hash_buckets(c: str | Column, dims: int) -> Column:
 
 def hash_embedding(c: str | Column, dims: int = 64) -> Column:
     """Unit vector of the buckets' counts; a text without words is zero."""
-    from .vec import normalize
+    from .vec import let, normalize
 
-    b = hash_buckets(c, dims)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(b, lambda x: x == d)).cast("double"))
-    return normalize(counts)
+    counts = lambda b: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(b, lambda x: x == d)).cast("double"))
+    return normalize(let(hash_buckets(c, dims), counts))

@@ -10,6 +10,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, though ``f`` may use it for every element of an array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def doubles(v: str | Column) -> Column:
     return col(v).cast("array<double>")
 
@@ -29,8 +34,7 @@ def norm(v: str | Column) -> Column:
 
 def normalize(v: str | Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    n = F.greatest(norm(v), F.lit(1e-12))
-    return F.transform(doubles(v), lambda x: x / n)
+    return let(doubles(v), lambda d: let(F.greatest(norm(d), F.lit(1e-12)), lambda n: F.transform(d, lambda x: x / n)))
 
 
 def subtract(a: str | Column, b: str | Column) -> Column:
@@ -41,14 +45,14 @@ def rescale(v: str | Column, norm_kind: str = "l2") -> Column:
     """Divide by the norm, or with ``squared`` by its square; zero vectors stay zero."""
     if norm_kind not in ("l2", "squared"):
         raise ValueError(f"unknown norm: {norm_kind}")
-    by = norm(v) if norm_kind == "l2" else dot(v, v)
-    return F.transform(doubles(v), lambda x: F.coalesce(F.try_divide(x, by), F.lit(0.0)))
+    size = norm if norm_kind == "l2" else lambda d: dot(d, d)
+    return let(doubles(v), lambda d: let(size(d), lambda by: F.transform(d, lambda x: F.coalesce(F.try_divide(x, by), F.lit(0.0)))))
 
 
 def next_power_of_two(x: str | Column) -> Column:
     """Least power of two that is at least x, by the bits of x - 1."""
     bits = F.length(F.bin(F.greatest(col(x).cast("long") - 1, F.lit(0)).cast("long")))
-    return F.when(col(x) <= 1, F.lit(1)).otherwise(F.shiftleft(F.lit(1).cast("long"), bits)).cast("long")
+    return F.when(col(x) <= 1, F.lit(1)).otherwise(F.pow(F.lit(2.0), bits)).cast("long")
 
 
 def pool(states: str | Column, mask: str | Column | None = None, how: str = "mean") -> Column:
