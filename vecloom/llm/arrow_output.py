@@ -23,6 +23,8 @@ from ._cluster import fresh_path, materialize, ship
 from ._tokens import coder, vocabulary
 
 END_ID, SEQUENCE, BATCH = 2, 1024, 256
+#: Documents in a file, about, where the session's shuffle partitions are fewer than that needs.
+FILE_DOCS = 50_000
 _MANIFEST = "part long, path string, docs long, tokens long"
 
 
@@ -94,7 +96,7 @@ def write_sequences(docs: DataFrame, root: str, tokenizer: str | None = None, en
     """
     spark = docs.sparkSession
     ship(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // FILE_DOCS))
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     made = materialize(ordered.mapInArrow(_write(root, tokenizer or vocabulary("word_bpe_49k.json"), end_id, length), _MANIFEST), "manifest")
     before = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens")

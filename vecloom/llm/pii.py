@@ -92,11 +92,6 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 
 
 _PERSONAL = re.compile(r"[0-9@]")
-_TERM = re.compile(r"[^\W\d_]{3,}")
-
-
-def _term_hash(words: list[str]) -> list[int]:
-    return [T.hash_of(w, fold=True) for w in words]
 
 
 _LETTER = np.zeros(256, bool)
@@ -207,29 +202,46 @@ def _format(spans: list[list[tuple[int, int]]]) -> str:
     return ",".join(f"{k}:{a}:{z}" for k, found in zip(KINDS, spans) for a, z in found)
 
 
-def _find(keys: list[np.ndarray], replace: dict[str, str] | None):
+def _term_spans(column: pa.Array, known: T.HashSet) -> dict[int, list[tuple[int, int]]]:
+    """Code point spans of the known terms, by row."""
+    data, offsets = T.buffers(column)
+    start, end, doc, h = _terms(data, offsets)
+    at = np.flatnonzero(known.find(h) >= 0)
+    out: dict[int, list[tuple[int, int]]] = {}
+    if len(at):
+        cp = _code_points(data)
+        base = cp[offsets[doc[at]]]
+        for d, s, e in zip(doc[at].tolist(), (cp[start[at]] - base).tolist(), (cp[end[at]] - base).tolist()):
+            out.setdefault(d, []).append((s, e))
+    return out
+
+
+def _mark(keys: np.ndarray):
+    """A pass for terms that are too many for one: appends their starts and ends to ``_marked``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [T.HashSet(k) for k in keys]
+        known = T.HashSet(keys)
         for b in T.blocks(batches):
-            column = b.column("text")
-            texts = column.to_pylist()
-            terms: dict[int, list[tuple[int, int]]] = {}
-            if known:
-                data, offsets = T.buffers(column)
-                start, end, doc, h = _terms(data, offsets)
-                hit = np.zeros(len(h), bool)
-                for k in known:
-                    hit |= k.find(h) >= 0
-                at = np.flatnonzero(hit)
-                if len(at):
-                    cp = _code_points(data)
-                    base = cp[offsets[doc[at]]]
-                    for d, s, e in zip(doc[at].tolist(), (cp[start[at]] - base).tolist(), (cp[end[at]] - base).tolist()):
-                        terms.setdefault(d, []).append((s, e))
+            found = _term_spans(b.column("text"), known)
+            marked = [(m or []) + [x for s in found.get(i, []) for x in s] for i, m in enumerate(b.column("_marked").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(marked, pa.list_(pa.int64()))], ["doc_id", "text", "_marked"])
+
+    return run
+
+
+def _find(keys: np.ndarray, replace: dict[str, str] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = T.HashSet(keys)
+        for b in T.blocks(batches):
+            texts = b.column("text").to_pylist()
+            terms = _term_spans(b.column("text"), known) if len(known) else {}
+            marked = b.column("_marked").to_pylist() if "_marked" in b.schema.names else None
             rows = []
             for i, t in enumerate(texts):
                 spans = base_spans(t) if t and _PERSONAL.search(t) else [[], [], [], []]
                 found = terms.get(i, [])
+                if marked and marked[i]:
+                    found = sorted({*found, *zip(marked[i][::2], marked[i][1::2])})
                 covered = sorted(s for kind in spans for s in kind)
                 # a term inside a pattern's span is covered by it
                 extra = [s for s in found if not any(a < s[1] and s[0] < z for a, z in covered)] if covered else found
@@ -267,6 +279,12 @@ def find_personal_data(docs: DataFrame, rules: Rules = Rules(), replace: dict[st
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keys = list(_chunks(disclosing_terms(docs, rules), rules))
+    last = np.zeros(0, np.uint64)
+    for k, keys in enumerate(_chunks(disclosing_terms(docs, rules), rules)):
+        if k == 1:
+            docs = docs.withColumn("_marked", F.lit(None).cast("array<long>"))
+        if k:
+            docs = docs.mapInArrow(_mark(last), "doc_id long, text string, _marked array<long>")
+        last = keys
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + (", clean_text string" if replace is not None else "")
-    return docs.mapInArrow(_find(keys, replace), schema)
+    return docs.mapInArrow(_find(last, replace), schema)
