@@ -29,16 +29,15 @@ INDEX_ROWS, QUERY_ROWS = 4_096, 2_048
 
 
 def prefilter(index: DataFrame, groups: list | None, strict: bool = True) -> DataFrame:
-    """Rows of ``groups`` (all for None); with ``strict`` an unknown group raises when the plan runs."""
+    """Rows of ``groups`` (all for None); with ``strict`` an unknown group raises, by one look at the groups that exist."""
     if groups is None:
         return index
     kept = index.filter(F.col("grp").isin(list(groups)))
     if strict:
-        spark = index.sparkSession
-        asked = spark.createDataFrame([(g,) for g in groups], f"grp {dict(index.dtypes)['grp']}")
-        unknown = asked.join(index.select("grp").distinct(), "grp", "left_anti").agg(F.first("grp").alias("bad"))
-        check = unknown.select(F.when(F.col("bad").isNull(), True).otherwise(F.raise_error(F.concat(F.lit("unknown group: "), F.col("bad").cast("string"))).cast("boolean")).alias("_ok"))
-        kept = kept.crossJoin(F.broadcast(check)).filter("_ok").drop("_ok")
+        asked = index.sparkSession.createDataFrame([(g,) for g in groups], f"grp {dict(index.dtypes)['grp']}")
+        unknown = asked.join(kept.select("grp").distinct(), "grp", "left_anti").first()
+        if unknown is not None:
+            raise ValueError(f"unknown group: {unknown['grp']}")
     return kept
 
 

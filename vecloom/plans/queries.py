@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -17,6 +17,7 @@ from ..operators import aggregates as A
 from ..operators import analytics, db, knn, limits, report
 from ..operators import index as I
 from ..operators.embed import HashEmbedder, embed_long, pack_batches
+from .shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, Query] = {}
@@ -442,7 +443,9 @@ def _gguf(spark, d) -> str:
 
     names = [r["r_name"] for r in table(spark, d, "region").orderBy("r_regionkey").collect()]
     keys = np.array([[r["n_nationkey"], r["n_regionkey"]] for r in table(spark, d, "nation").orderBy("n_nationkey").collect()], np.float32)
-    path = os.path.join(tempfile.mkdtemp(prefix="vecloom-gguf-"), "nations.gguf")
+    folder = f"{shared_dir(spark)}/vecloom/gguf-{uuid.uuid4().hex[:12]}".removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+    path = f"{folder}/nations.gguf"
     write_gguf(path, [("general.name", 8, "nations"), ("nation.count", 4, len(keys)), ("nation.regions", 9, (8, names)), ("general.alignment", 4, 32)], [("nation.keys", keys)])
     return path
 
@@ -464,11 +467,8 @@ def gguf_tensors(spark, d):
 
 @register
 def stream_upsert(spark, d):
-    from ..plans.shared import shared_dir
     from ..streaming import upserts
 
-    import uuid
-
     base = f"{shared_dir(spark)}/vecloom/stream-{uuid.uuid4().hex[:12]}"
     e = table(spark, d, "events").select("user_id", "event_id", "event_type")
     e.repartition(3).write.parquet(f"{base}/in")

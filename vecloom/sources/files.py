@@ -61,6 +61,8 @@ def decode(content: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def pdf_text(content: pd.Series) -> pd.Series:
     """Pages of a PDF with a blank line between; needs the optional package pypdf."""
+    if content.isna().all():
+        return content.map(lambda b: None)
     from ..operators.embed import lazy
 
     reader = lazy("pypdf").PdfReader
