@@ -321,8 +321,8 @@ def test_mix(spark, odd, empty):
     for r in mixed.collect():
         have[r.source] = have.get(r.source, 0) + len(WORD.findall(r.text or ""))
     assert {k: v for k, v in want.items() if v} == have
-    small = mixing.plan_mix(spark.createDataFrame([(i, prose(30, i), "hot") for i in range(50)], "doc_id long, text string, source string"), shard_docs=7)
-    assert small.agg(F.sum("taken")).first()[0] == pytest.approx(1500, abs=64)
+    small = mixing.plan_mix(spark.createDataFrame([(i, prose(30, i), "hot") for i in range(50)], "doc_id long, text string, source string"), shard_docs=7, block=16)
+    assert small.agg(F.sum("taken")).first()[0] == pytest.approx(1500, abs=16 * 9)
 
 
 def direct_ids(name, ts, end):
@@ -424,9 +424,9 @@ def test_disclosing_terms(spark):
     docs += [(100 + i, f"{prose(40, 300 + i)} the end") for i in range(200)]
     docs += [(400, "we met Quillhart there")] + [(500 + i, docs[0][1]) for i in range(30)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()}
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(df, pii.Rules(min_bits=4.0)).collect()}
     assert "term:7:16" in got[400] and "term" in got[3] and "term" not in got[150]
-    one = pii.Rules(terms_a_pass=1)
+    one = pii.Rules(min_bits=4.0, terms_a_pass=1)
     assert {r.doc_id: r.spans for r in pii.find_personal_data(df, one).collect()} == got
 
 

@@ -1,31 +1,22 @@
 """Token ids of whole texts by a vocabulary file of the tokenizers library, through a cache of words.
 
 A text is cut where the vocabulary's own pre-tokenizer always cuts, before white space, so that the ids of the pieces, joined, are the ids
-of the text. Pieces seen before come from a bounded cache; only new ones go through the library's merges.
+of the text. Pieces are found and hashed for a whole block of texts at once; those seen before come from a bounded table of hash and length to
+ids, in numpy; only new ones go through the library's merges.
 """
 
 from __future__ import annotations
 
-import itertools
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
 
-#: White space as Unicode defines it, which Python's \\s exceeds by four control characters.
-_WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_BYTE_LEVEL = re.compile(f"[{_WS}]+(?![^{_WS}])| ?[^{_WS}]+|[{_WS}]")
-_SPLIT = re.compile(f"[^{_WS}]+")
-#: Words cached by each Python worker; a full cache loses its older half. Longer words are not cached.
-CACHE_WORDS, CACHE_CHARS = 1_200_000, 64
-_coders: dict[str, Coder] = {}
-
+from . import _text as T
 
-def _split_words(text: str) -> list[str]:
-    """Runs between white space; str.split does it but for four control characters."""
-    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-        return _SPLIT.findall(text)
-    return text.split()
+#: Pieces kept by each Python worker, with their ids about 60 MB; a full table is emptied. Longer pieces are not kept.
+TABLE_PIECES, TABLE_SLOTS, PIECE_BYTES = 1_300_000, 1 << 21, 64
+_coders: dict[str, Coder] = {}
 
 
 def vocabulary(name: str) -> str:
@@ -44,19 +35,18 @@ class Coder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        state = self.tokenizer.pre_tokenizer.__class__.__name__, self.tokenizer.normalizer is None
-        if state == ("ByteLevel", True):
-            self.split, self.mark = _BYTE_LEVEL.findall, "\n"
-        elif "Removed" in str(self.tokenizer.pre_tokenizer):
-            self.split, self.mark = _split_words, " ~ "
+        pre = self.tokenizer.pre_tokenizer
+        if pre.__class__.__name__ == "ByteLevel" and self.tokenizer.normalizer is None:
+            self.kind, self.mark = "byte", "\n"  # white space is kept, one space with the word after it
+        elif "Removed" in str(pre):
+            self.kind, self.mark = "word", " ~ "  # white space is dropped
         else:
-            self.split, self.mark = None, ""
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-        if self.split:
-            ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
-            self.mark_id = ids[0] if len(ids) == 1 else None
-            self.unmarked = self.mark.strip() or self.mark
+            self.kind, self.mark = "", ""
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.mark_id = ids[0] if len(ids) == 1 else None
+        self.unmarked = self.mark.strip() or self.mark
+        self._clear()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -84,42 +74,169 @@ class Coder:
         end = [*(cuts * width).tolist(), len(raw)]
         return [raw[a:z] for a, z in zip(begin, end)]
 
+    def _clear(self) -> None:
+        self.keys, self.entry = np.zeros(TABLE_SLOTS, np.uint64), np.full(TABLE_SLOTS, -1, np.int32)
+        self.at, self.n = np.zeros(1024, np.int64), 0  # entry k has the ids pool[at[k]:at[k + 1]]
+        self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Entry of each key, or -1."""
+        slot = (h & np.uint64(TABLE_SLOTS - 1)).astype(np.int64)
+        out = self.entry[slot]
+        left = np.flatnonzero((self.keys[slot] != h) & (out >= 0))  # met another key: look on from there
+        out[left] = -1
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & (TABLE_SLOTS - 1)
+            e = self.entry[slot]
+            same = (e >= 0) & (self.keys[slot] == h[left])
+            out[left[same]] = e[same]
+            on = (e >= 0) & ~same
+            left, slot = left[on], slot[on]
+        return out
+
+    def _insert(self, h: np.ndarray, entry: np.ndarray) -> None:
+        """Distinct keys that the table doesn't have."""
+        slot = (h & np.uint64(TABLE_SLOTS - 1)).astype(np.int64)
+        while len(h):
+            _, first = np.unique(slot, return_index=True)
+            free = first[self.entry[slot[first]] < 0]
+            self.keys[slot[free]], self.entry[slot[free]] = h[free], entry[free]
+            left = np.ones(len(h), bool)
+            left[free] = False
+            h, entry, slot = h[left], entry[left], (slot[left] + 1) & (TABLE_SLOTS - 1)
+
+    def _append(self, pieces: list[bytes]) -> np.ndarray:
+        """New entries with the ids given as bytes."""
+        sizes = np.array([len(p) for p in pieces], np.int64) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(pieces), self.dtype)
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.n + len(pieces) + 1 >= len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        entry = np.arange(self.n, self.n + len(pieces), dtype=np.int32)
+        self.at[self.n + 1 : self.n + 1 + len(pieces)] = self.used + np.cumsum(sizes)
+        self.n, self.used = self.n + len(pieces), self.used + len(flat)
+        return entry
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, first piece of each text with the number of pieces last)."""
+        start, end, first = T.words(data, offsets)
+        if self.kind == "word":
+            return start, end, first
+        n = len(offsets) - 1
+        doc = np.repeat(np.arange(n), np.diff(first))
+        before = np.empty(len(start), np.int64)  # where the white space before a word begins
+        before[1:] = end[:-1]
+        some = np.flatnonzero(np.diff(first))
+        before[first[some]] = offsets[some]
+        gap = start - before
+        space = (gap > 0) & (data[np.maximum(start - 1, 0)] == 32)
+        # white space before a word: all of it but the last character is a piece; the last one is a piece too, unless it is a space, which the word takes
+        long, single = gap > 1, (gap > 0) & ~space
+        tail = offsets[:-1].copy()
+        tail[some] = end[first[some + 1] - 1]
+        trailing = tail < offsets[1:]
+        ahead = long.astype(np.int64) + single
+        place = np.arange(len(start)) + np.cumsum(ahead) + (np.cumsum(trailing) - trailing)[doc]
+        total = len(start) + int(ahead.sum() + trailing.sum())
+        s, e = np.empty(total, np.int64), np.empty(total, np.int64)
+        s[place], e[place] = start - space, end
+        at = place[single] - 1
+        s[at], e[at] = start[single] - 1, start[single]
+        at = (place - single - 1)[long]
+        s[at], e[at] = before[long], start[long] - 1
+        count = np.bincount(doc, 1 + ahead, n).astype(np.int64) + trailing
+        bounds = np.zeros(n + 1, np.int64)
+        np.cumsum(count, out=bounds[1:])
+        at = (bounds[1:] - 1)[trailing]
+        s[at], e[at] = tail[trailing], offsets[1:][trailing]
+        return s, e, bounds
+
+    def _odd(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Texts with white space beyond ASCII or with a special token's string: these go to the library whole."""
+        out = np.zeros(len(offsets) - 1, bool)
+        if len(data) > 1:
+            lead = np.flatnonzero(_LEAD[data[:-1]])
+            a, b = data[lead], data[lead + 1]
+            c = data[np.minimum(lead + 2, len(data) - 1)]
+            hit = (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+            hit |= (a == 0xE2) & ((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
+            out[np.searchsorted(offsets, lead[hit], "right") - 1] = True
+        raw = None
+        for s in self.special:
+            raw = data.tobytes() if raw is None else raw
+            at = raw.find(s)
+            while at >= 0:
+                out[np.searchsorted(offsets, at, "right") - 1] = True
+                at = raw.find(s, at + 1)
+        return out
+
+    def encode_block(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, bounds by text), each text's ids with ``end_id`` after them if given. A null text is empty."""
+        tail = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
+        data, offsets = T.buffers(column)
+        n = len(offsets) - 1
+        odd = self._odd(data, offsets) if self.kind else np.ones(n, bool)
+        if odd.any():
+            texts = [t or "" for t in column.to_pylist()]
+            whole = dict(zip(np.flatnonzero(odd).tolist(), self._encode([texts[i] for i in np.flatnonzero(odd)])))
+            rest, bounds = self.encode_block(column.filter(pa.array(~odd)), end_id) if not odd.all() else (np.zeros(0, self.dtype), np.zeros(1, np.int64))
+            parts, k = [], 0
+            for i in range(n):
+                if odd[i]:
+                    parts.append(np.frombuffer(whole[i] + tail, self.dtype))
+                else:
+                    parts.append(rest[bounds[k] : bounds[k + 1]])
+                    k += 1
+            out = np.zeros(n + 1, np.int64)
+            np.cumsum([len(p) for p in parts], out=out[1:])
+            return np.concatenate(parts), out
+        if self.n > TABLE_PIECES:
+            self._clear()
+        start, end, first = self._pieces(data, offsets)
+        h = T.mix(T.Prefix(data).of(start, end) + (end - start).astype(np.uint64))
+        entry = self._find(h)
+        missing = np.flatnonzero(entry < 0)
+        kept, kept_used = self.n, self.used
+        if len(missing):
+            new, at, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            at = missing[at]
+            raw = data.tobytes()
+            texts = [raw[a:z].decode() for a, z in zip(start[at].tolist(), end[at].tolist())]
+            short = end[at] - start[at] <= PIECE_BYTES
+            order = np.argsort(~short, kind="stable")  # those to keep first
+            made: list[bytes] = []
+            for k in range(0, len(order), 2048):
+                made += self._encode_pieces([texts[i] for i in order[k : k + 2048].tolist()])
+            e = np.empty(len(new), np.int32)
+            e[order] = self._append(made)
+            entry[missing] = e[back]
+            n_short = int(short.sum())
+            self._insert(new[short], e[short])
+            kept, kept_used = kept + n_short, int(self.at[kept + n_short])
+        if end_id is not None:  # one more piece after each text
+            stop = self._append([tail])[0]
+            entry = np.insert(entry, first[1:], stop)
+            first = first + np.arange(len(first))
+        begin, size = self.at[entry], self.at[entry + 1] - self.at[entry]
+        total = np.zeros(len(entry) + 1, np.int64)
+        np.cumsum(size, out=total[1:])
+        ids = self.pool[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
+        self.n, self.used = kept, kept_used
+        return ids, total[first]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of ``dtype``."""
-        if self.split is None:
-            return self._encode(texts)
-        cache, split = self.cache, self.split
-        out: list = [None] * len(texts)
-        waiting: list[tuple[int, list[str]]] = []
-        new: dict[str, None] = {}
-        whole = []
-        for i, t in enumerate(texts):
-            if "<" in t and any(s in t for s in self.special):
-                whole.append(i)  # a special token's string may cross the cuts
-                continue
-            pieces = split(t)
-            ids = list(map(cache.get, pieces))
-            if None in ids:
-                new.update((w, None) for w, e in zip(pieces, ids) if e is None)
-                waiting.append((i, pieces))
-            else:
-                out[i] = b"".join(ids)
-        if new:
-            fresh = list(new)
-            made: dict[str, bytes] = {}
-            for k in range(0, len(fresh), 2048):
-                part = fresh[k : k + 2048]
-                made.update(zip(part, self._encode_pieces(part)))
-            for i, pieces in waiting:
-                get = made.get
-                out[i] = b"".join([get(w) or cache[w] for w in pieces])
-            if len(cache) + len(made) > CACHE_WORDS:
-                for w in list(itertools.islice(cache, len(cache) // 2)):
-                    del cache[w]
-            cache.update((w, e) for w, e in made.items() if len(w) <= CACHE_CHARS)
-        for i, e in zip(whole, self._encode([texts[i] for i in whole]) if whole else []):
-            out[i] = e
-        return out
+        if not texts:
+            return []
+        ids, bounds = self.encode_block(pa.array(texts, pa.string()))
+        return [ids[a:z].tobytes() for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
+_LEAD = np.zeros(256, bool)
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def coder(path: str) -> Coder:

@@ -57,17 +57,16 @@ def _write(root: str, tokenizer: str, end_id: int, length: int):
         name = f"{folder}/part-{part:06d}"
         attempt = f"{name}.{task.taskAttemptId()}"
         schema = sequence_schema(length, c.dtype)
-        tail = np.array([end_id], c.dtype).tobytes()
         held, index, total = b"", [], 0
         step = BATCH * length * c.dtype.itemsize
         with system.open_output_stream(f"{attempt}.arrow") as sink, pa.ipc.new_file(sink, schema) as out:
             for b in T.blocks(batches):
-                coded = c.encode([t or "" for t in b.column("text").to_pylist()])
-                n = np.array([len(x) for x in coded], np.int64) // c.dtype.itemsize + 1
+                ids, bounds = c.encode_block(b.column("text"), end_id)
+                n = np.diff(bounds)
                 start = total + np.cumsum(n) - n
                 total += int(n.sum())
                 index.append(pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(start), pa.array(n)], ["doc_id", "start", "n_tokens"]))
-                held += b"".join(x for e in coded for x in (e, tail))
+                held += ids.tobytes()
                 at = 0
                 while len(held) - at >= step:
                     out.write_batch(sequence_batch(np.frombuffer(held, c.dtype, BATCH * length, at), length, c.dtype))

@@ -65,4 +65,4 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     renamed = docs.withColumnsRenamed(inner)
     marked = mark_duplicates(renamed, ["text", *inner.values()]).filter("kept")
     rows = marked.filter("tied = 1").unionByName(marked.filter("tied > 1").dropDuplicates(["text_sha256"]))
-    return rows.withColumnsRenamed({v: k for k, v in inner.items()}).select(docs.columns)
+    return rows.select("doc_id", "text", *[F.col(v).alias(k) for k, v in inner.items()]).select(docs.columns)

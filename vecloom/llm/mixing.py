@@ -91,7 +91,7 @@ def plan_mix(docs: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS,
     """Each row of ``docs(doc_id, text, source)`` with size, source_size, target, copies, extra_from, extra_to and taken.
 
     ``copies``: times that the whole document is taken; the words [extra_from, extra_to) of it are taken once more. Sources in code point
-    order, null last, weigh 1, 2, 3, and so on again. A null text has size 0 and takes nothing. Where a source has no words its target is 0. The
+    order, null last, weigh 1, 2, 3, and so on again. A source's taken words differ from its target by less than a block for itself and each of its shards. A null text has size 0 and takes nothing. Where a source has no words its target is 0. The
     order within a shard is by hash of seed and doc_id, then doc_id, then text hash, so repeated rows have their places too.
     """
     sized = docs.select("doc_id", "source", *(payload or []), n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("_order"), F.xxhash64("text").alias("_tie"))

@@ -44,14 +44,13 @@ def _run(path: str, end_id: int, max_len: int, with_ids: bool):
         c = coder(path)
         part = TaskContext.get().partitionId()
         used = np.zeros(64, np.int64)
-        tail = np.array([end_id], c.dtype).tobytes()
         for b in T.blocks(batches):
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            ids = [np.frombuffer(e + tail, c.dtype).astype("<u4") for e in c.encode(texts)]
-            n = np.array([len(x) for x in ids], np.int64)
+            flat, bounds = c.encode_block(b.column("text"), end_id)
+            flat, n = flat.astype("<u4"), np.diff(bounds)
             doc, start, length = binary_pieces(n, max_len)
-            raw = [x.tobytes() for x in ids]
-            crc = [zlib.crc32(raw[d][4 * s : 4 * (s + k)]) for d, s, k in zip(doc.tolist(), start.tolist(), length.tolist())]
+            raw = memoryview(flat).cast("B")
+            ends = (4 * np.cumsum(length)).tolist()
+            crc = [zlib.crc32(raw[a:z]) for a, z in zip([0, *ends[:-1]], ends)]
             bucket = np.log2(length).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             sizes = np.bincount(bucket, minlength=64)
@@ -65,7 +64,7 @@ def _run(path: str, end_id: int, max_len: int, with_ids: bool):
             if with_ids:
                 bounds = np.zeros(len(doc) + 1, np.int32)
                 np.cumsum(length, out=bounds[1:])
-                columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))))
+                columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat.astype(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 

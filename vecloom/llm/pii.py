@@ -188,7 +188,7 @@ def disclosing_terms(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         discard(near, often, candidates)
         return docs.sparkSession.createDataFrame([], "term long, bits double, share double")
     totals = held.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    n = max(1, docs.count())
+    n = max(1, texts.select(F.xxhash64("text").alias("h")).distinct().count())
     scored = often.filter("term <> 0").join(maybe_broadcast(materialize(totals, "totals")), "term").join(maybe_broadcast(entities), "entity")
     share = F.col("n_te") / F.col("n_t")
     bits = F.log2(share * F.lit(float(n)) / F.col("n_e"))

@@ -146,8 +146,6 @@ def _pass(keys: np.ndarray, first_pass: bool, with_text: bool):
                 for d in np.unique(doc[bad]):
                     texts[d] = b"\n".join(raw[ls[i] : le[i]] for i in range(lf[d], lf[d + 1]) if not bad[i]).decode()
                 columns["text"] = pa.array(texts, columns["text"].type)
-            if not with_text:
-                columns["text"] = columns["text"] if not first_pass else columns["text"]
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
@@ -199,7 +197,7 @@ def filter_by_rules(docs: DataFrame, host: str = "source", rules: Rules = Rules(
     """``docs`` without the rejected rows and without frequent lines; columns as given, n_chars (if there) of the new text."""
     others = [c for c in docs.columns if c != "text"]
     out = apply_rules(docs.withColumnsRenamed({c: f"_in_{c}" for c in others if c != host}), host, rules, True, [c if c == host else f"_in_{c}" for c in others])
-    out = out.filter("kept").select(*[F.col(c if c == host else f"_in_{c}").alias(c) for c in others], F.col("clean_text").alias("text"), "removed_words")
+    out = out.filter("kept").select(*[F.col(c if c == host else f"_in_{c}").alias(c) for c in others], F.col("clean_text").alias("text"), F.col("removed_words").alias("_removed"))
     if "n_chars" in others:
-        out = out.withColumn("n_chars", F.when(F.col("removed_words") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+        out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
     return out.select(docs.columns)
