@@ -196,6 +196,8 @@ def test_embedders(spark):
     for w in ("a", "b", "a"):
         want[embed.md5_bucket(w, 64)] += 1
     assert h == pytest.approx((want / np.linalg.norm(want)).tolist())
+    both = spark.createDataFrame([("A b, a É2x",), ("",), (None,)], "t string").select(embed.HashEmbedder(64).column("t").alias("p"), X.hash_embedding("t", 64).alias("j"))
+    assert all(r.p == pytest.approx(r.j) for r in both.collect())
     with pytest.raises(ImportError, match="not installed"):
         embed.lazy("no_such_package_here")
     long = embed.embed_long(spark.createDataFrame([(1, "one two three four")], "k int, t string"), "k", "t", embed.HashEmbedder(8), 9)

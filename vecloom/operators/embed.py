@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import hash_embedding, slices
+from ..functions.text import slices
 from ..plans.shared import ship
 from .aggregates import signed_square_mean
 
@@ -29,7 +29,10 @@ class Embedder(Protocol):
 
 
 class HashEmbedder:
-    """Feature hashing of words by md5, in plain column expressions: nothing leaves the JVM."""
+    """Feature hashing of words by md5, as :func:`vecloom.functions.text.hash_embedding` defines it.
+
+    That expression is interpreted for each word and dimension; here words are counted in Arrow batches, each word's hash looked up once.
+    """
 
     def __init__(self, dims: int = 64):
         if not 1 <= dims <= 256:
@@ -37,7 +40,26 @@ class HashEmbedder:
         self.name, self.dims = f"hash-{dims}", dims
 
     def column(self, text: str | Column) -> Column:
-        return hash_embedding(text, self.dims)
+        dims = self.dims
+
+        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            letters = lazy("regex").compile(r"\p{L}+")
+            known: dict[str, int] = {}
+            for part in parts:
+                if len(known) > 500_000:
+                    known.clear()
+                out = np.zeros((len(part), dims))
+                for i, t in enumerate(part):
+                    found = letters.findall(t.lower()) if t else []
+                    for w in found:
+                        if w not in known:
+                            known[w] = hashlib.md5(w.encode()).digest()[0] % dims
+                    if found:
+                        out[i] = np.bincount([known[w] for w in found], minlength=dims)
+                out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+                yield pd.Series(list(out))
+
+        return F.pandas_udf(run, returnType=T.ArrayType(T.DoubleType()))(F.col(text) if isinstance(text, str) else text)
 
 
 class PandasEmbedder:
