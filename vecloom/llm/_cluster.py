@@ -18,6 +18,10 @@ BROADCAST_ROWS = 1_000_000
 #: A join key is hot when it holds more than this share of all rows, so there are fewer than 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 2000
 
+#: Bytes of an Arrow batch sent to Python: texts are handled in blocks of half a megabyte, so larger batches would only hold memory.
+ARROW_BYTES = 4 << 20
+_ARROW_SETTING, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 _own_dir: str | None = None
 _shipped: set[str] = set()
 _written: dict[str, str] = {}
@@ -64,7 +68,9 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once, whatever the driver's working folder is."""
+    """Send this package to the executors once, whatever the driver's working folder is; and keep Arrow batches small unless the session says otherwise."""
+    if spark.conf.get(_ARROW_SETTING, None) == _ARROW_DEFAULT:
+        spark.conf.set(_ARROW_SETTING, str(ARROW_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

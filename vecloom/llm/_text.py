@@ -25,7 +25,7 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 _pow = _ipow = np.ones(1, U64)
 
 #: Text bytes handled at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
