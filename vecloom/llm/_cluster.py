@@ -24,7 +24,6 @@ _ARROW_SETTING, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "
 
 _own_dir: str | None = None
 _shipped: set[str] = set()
-_written: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,6 +60,11 @@ def discard(*dfs: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
+def clear_shared(spark: SparkSession) -> None:
+    """Delete all that this package has written to the shared folder; results not yet written elsewhere can't be read after it."""
+    delete(spark, f"{shared_dir(spark)}/vecloom")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
