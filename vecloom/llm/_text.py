@@ -6,12 +6,19 @@ byte, then mixed; so every word, line or prefix costs two lookups.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):
+    _libc = None
+
 U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15
 _INV = pow(_MULT, -1, 1 << 64)
@@ -71,6 +78,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def release() -> None:
+    """Give memory freed in this worker back to the system: workers outlive their tasks, beside those of other stages and the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of at most ``limit`` text bytes, or of one row."""
     for batch in batches:
@@ -86,6 +100,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             stop = min(stop, at + 8192)
             yield batch.slice(at, stop - at)
             at = stop
+    release()
 
 
 class Prefix:

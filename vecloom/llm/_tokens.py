@@ -14,8 +14,8 @@ import pyarrow as pa
 
 from . import _text as T
 
-#: Pieces kept by each Python worker, with their ids about 60 MB; a full table is emptied. Longer pieces are not kept.
-TABLE_PIECES, TABLE_SLOTS, PIECE_BYTES = 1_300_000, 1 << 21, 64
+#: Pieces kept by each Python worker, with their ids about 30 MB; a full table is emptied. Longer pieces are not kept.
+TABLE_PIECES, TABLE_SLOTS, PIECE_BYTES = 650_000, 1 << 20, 64
 _coders: dict[str, Coder] = {}
 
 
