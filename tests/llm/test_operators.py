@@ -437,6 +437,16 @@ def test_components_and_hot_groups(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_chain(spark):
+    """Chains of 1,000 and 999 links whose ids are in random order, and a star: one label each, the smallest id."""
+    ids = list(range(5000, 7001))
+    random.Random(5).shuffle(ids)
+    one, other = ids[:1001], ids[1001:]
+    edges = [*zip(one, one[1:]), *zip(other, other[1:]), *((90, k) for k in (7, 300, 8, 1000))]
+    got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    assert got == {i: min(c) for c in (one, other, [7, 8, 90, 300, 1000]) for i in c}
+
+
 def test_join_groups_beyond_the_broadcast_limit(spark, monkeypatch):
     from vecloom.llm import _cluster
 

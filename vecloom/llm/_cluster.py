@@ -108,31 +108,46 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a, b)`` as (id, comp), comp the smallest id: min-label rounds with pointer jumping.
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of ``edges(a, b)`` as (id, comp), comp the smallest id: contraction until no edge is left.
 
-    Each round is written to the shared folder. Vertices without an edge are not in the result.
+    In a round every vertex points to its smallest neighbour; one that is smaller than all its neighbours points to the smallest
+    neighbour of that neighbour, which may be itself. Pointers never go up, and each root has at least one vertex below it, so the
+    vertices of the next round, the roots that still have edges, are at most half as many: log2(n) rounds, whatever the order of ids is.
+    A round follows its pointers to the roots by pointer jumping. Each step is written to the shared folder. Vertices without an edge are not in the result.
     """
     both = edges.select("a", "b").filter("a <> b")
     sym = materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(sym.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")), "labels")
-    n = labels.count()
-    for _ in range(max_rounds):
-        if n == 0:
+    rounds: list[tuple[DataFrame, int]] = []
+    while True:
+        near = materialize(sym.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp")), "near")
+        n = near.count()
+        if rounds and n == 0:
+            discard(sym, near)
             break
-        small = (lambda d: F.broadcast(d)) if n <= BROADCAST_ROWS else (lambda d: d)
-        near = sym.join(small(labels.select(F.col("id").alias("b"), "comp")), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        step = materialize(labels.join(small(near), "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp")), "step")
-        roots = step.select(F.col("id").alias("comp"), F.col("comp").alias("root"))
-        new = materialize(step.join(small(roots), "comp", "left").select("id", "old", F.coalesce(F.least("root", "comp"), "comp").alias("comp")), "labels")
-        changed = new.filter("comp <> old").limit(1).count()
-        discard(labels, step)
-        path = new._vecloom_path
-        labels = new.select("id", "comp")
-        labels._vecloom_path = path
-        if not changed:
-            break
-    discard(sym)
+        up = maybe_broadcast(near.select(F.col("id").alias("comp"), F.col("comp").alias("next")), n)
+        step = materialize(near.filter("comp < id").unionByName(near.filter("comp > id").join(up, "comp").select("id", F.col("next").alias("comp"))), "step")
+        discard(near)
+        while True:
+            up = maybe_broadcast(step.select(F.col("id").alias("comp"), F.col("comp").alias("next")), n)
+            new = materialize(step.join(up, "comp").select("id", F.col("comp").alias("old"), F.col("next").alias("comp")), "step")
+            changed = new.filter("comp <> old").limit(1).count()
+            discard(step)
+            step = new.select("id", "comp")
+            step._vecloom_path = new._vecloom_path
+            if not changed:
+                break
+        rounds.append((step, n))
+        ends = [maybe_broadcast(step.select(F.col("id").alias(e), F.col("comp").alias(f"{e}_comp")), n) for e in ("a", "b")]
+        new = materialize(sym.join(ends[0], "a").join(ends[1], "b").filter("a_comp <> b_comp").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct(), "edges")
+        discard(sym)
+        sym = new
+    labels, n = rounds.pop()
+    while rounds:
+        last, (step, more) = labels, rounds.pop()
+        roots = maybe_broadcast(last.select(F.col("id").alias("comp"), F.col("comp").alias("root")), n)
+        labels, n = materialize(step.join(roots, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), "labels"), more
+        discard(last, step)
     return labels
 
 
