@@ -204,6 +204,13 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert all(r.n_chars == len(r.text) for r in stage.filter("doc_id < 40").collect())
 
 
+def test_distinct_documents_of_shared_lines_are_counted_whatever_the_hashes(spark):
+    """In each of 40 hosts 25 documents share two lines and have one of their own: the shared lines go, though they may have the least hash."""
+    docs = [(100 * h + i, f"{prose(12, 7000 + h)}\n{prose(12, 8000 + h)}\n{prose(60, 100 * h + i)}", f"h{h}") for h in range(40) for i in range(25)]
+    out = quality_rules.apply_rules(spark.createDataFrame(docs, "doc_id long, text string, source string"), with_text=False).collect()
+    assert len(out) == 1000 and {r.removed_words for r in out} == {24}
+
+
 def test_toxicity_grammar():
     plain = toxicity.Lexicon(words={"fool": (1, 4.0, 4.0), "you": (3, 0, 0), "not": (4, 0, 0), "said": (5, 0, 0), "hit": (2, 4.0, 4.0)}).compile()
     c = toxicity.channels(pa.array(["A fool.", "you fool", "not a fool", "he said: x. they said fool", "I hit you", None, ""]), plain)

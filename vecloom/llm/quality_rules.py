@@ -2,8 +2,8 @@
 
 Lines are normalised (lower case in A-Z, white space collapsed) and hashed; for each host the distinct documents that hold a line are
 counted; lines above the limits are removed and documents that lose too much are rejected. Copies of a document would make all its lines
-frequent, so a document is named by its set of lines: the least of their hashes. Exact copies, and nearly all near copies, then count as
-one document, and are left to the operators that remove copies.
+frequent, so a document is named by its set of lines: a hash of all of them. Texts with equal sets of lines then count as one document,
+and are left to the operators that remove copies; texts that share only some of their lines, however many, count as several.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(doc, kind="stable")
         doc, h = doc[order], h[order]
         edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        name = np.minimum.reduceat(T.mix(h ^ _U(0x77)), edge)
+        name = T.mix(np.add.reduceat(T.mix(h ^ _U(0x77)), edge))
         names = np.repeat(name, np.diff(np.r_[edge, len(doc)]))
         host = _host_hash(b.column(_HOST))
         where = np.r_[T.mix(host[doc] * _U(3) + h), host[doc[edge]]]
