@@ -1,6 +1,7 @@
 """Vector, text, database, source and streaming operators on small fixtures."""
 
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from vecloom.functions import vec as V
 from vecloom.operators import aggregates as A
 from vecloom.operators import analytics, db, embed, knn, limits, report
 from vecloom.operators import index as I
+from vecloom.plans.queries import queries
 
 
 def one(df):
@@ -107,6 +109,16 @@ def test_approximate_search_recall(spark):
         assert one(report.recall(exact, other).agg(F.avg("recall"))) >= 0.9
 
 
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_registered_lsh_recall(spark, scale):
+    """The registered query, with its own parameters, over the whole table."""
+    d = f"/root/testdata/{scale}"
+    if not os.path.isdir(d):
+        pytest.skip("needs the test tables")
+    found = queries()
+    assert one(report.recall(found["knn_top10"](spark, d), found["lsh_neighbors"](spark, d)).agg(F.avg("recall"))) >= 0.9
+
+
 def test_upsert_and_delete(spark):
     idx = index_of(spark, [[1.0], [2.0], [3.0]])
     new = spark.createDataFrame([(9, 5, 0, [9.0]), (1, 7, 1, [20.0]), (8, 5, 2, [8.0])], "label long, grp int, ord long, vec array<double>")

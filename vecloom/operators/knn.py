@@ -9,7 +9,7 @@ Results are (qid, rank, label, sim): higher similarity first, compared at nine d
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +55,9 @@ def ranked(scored: DataFrame, k: int, cutoff: float | None = None, by: str = "qi
     return out if cutoff is None else out.filter(F.col("sim") > cutoff)
 
 
-def _partial(path: str, k: int, spec: Q.QuantSpec):
+def _partial(path: str, k: int, spec: Q.QuantSpec, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
+    """Top k of each block of the index for every query; only of the pairs that ``near(queries, rows)`` marks, if given."""
+
     def matrix(column: pa.Array, n: int) -> np.ndarray:
         return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, -1)
 
@@ -84,19 +86,26 @@ def _partial(path: str, k: int, spec: Q.QuantSpec):
             for b in queries.to_batches(batch_size=QUERY_ROWS, columns=["qid", "vec"]):
                 if not b.num_rows:
                     continue
-                sims = matrix(b.column("vec"), b.num_rows) @ x.T
+                q = matrix(b.column("vec"), b.num_rows)
+                sims = q @ x.T
                 m = min(k, t.num_rows)
                 rounded = np.round(sims, 9)
+                marked = None if near is None else near(q, x)
+                if marked is not None:
+                    rounded[~marked] = -np.inf
                 if m < t.num_rows:
                     # all rows as good as the k-th: ties are settled by position when the parts are merged
                     least = np.partition(rounded, t.num_rows - m, axis=1)[:, t.num_rows - m]
-                    row, at = np.nonzero(rounded >= least[:, None])
+                    best = rounded >= least[:, None]
+                    row, at = np.nonzero(best if marked is None else best & marked)
                     if len(row) > 4 * m * b.num_rows:
                         order = np.lexsort((pos[at], -rounded[row, at], row))
                         row, at = row[order], at[order]
                         first = np.searchsorted(row, row)
                         keep = np.arange(len(row)) - first < m
                         row, at = row[keep], at[keep]
+                elif marked is not None:
+                    row, at = np.nonzero(marked)
                 else:
                     row, at = np.divmod(np.arange(b.num_rows * t.num_rows), t.num_rows)
                 yield pa.RecordBatch.from_arrays([b.column("qid").take(pa.array(row)), t.column("label").chunk(0).take(pa.array(at)), pa.array(pos[at]), pa.array(sims[row, at])], ["qid", "label", "pos", "sim"])
@@ -104,6 +113,14 @@ def _partial(path: str, k: int, spec: Q.QuantSpec):
     return run
 
 
+def _scored(queries: DataFrame, index: DataFrame, k: int, spec: Q.QuantSpec = Q.FLOAT, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    ship(queries.sparkSession)
+    _, path = written(queries.select("qid", "vec"), "queries")
+    rows = index.select("label", "pos", F.col("vec").cast("array<int>" if spec.quantized else "array<double>").alias("vec"))
+    kinds = dict(queries.dtypes) | {"label": dict(index.dtypes)["label"]}
+    return rows.mapInArrow(_partial(path, k, spec, near), f"qid {kinds['qid']}, label {kinds['label']}, pos long, sim double")
+
+
 def topk(queries: DataFrame, index: DataFrame, k: int = 10, groups: list | None = None, cutoff: float | None = None, engine: str = "arrow", spec: Q.QuantSpec = Q.FLOAT) -> DataFrame:
     """(qid, rank, label, sim): for each of ``queries(qid, vec)`` the k most similar rows of ``index(label, grp, pos, vec)``.
 
@@ -112,11 +129,7 @@ def topk(queries: DataFrame, index: DataFrame, k: int = 10, groups: list | None
     if engine == "sql":
         scored = similarity(queries, index, groups, spec)
     elif engine == "arrow":
-        ship(queries.sparkSession)
-        _, path = written(queries.select("qid", "vec"), "queries")
-        rows = prefilter(index, groups).select("label", "pos", F.col("vec").cast("array<int>" if spec.quantized else "array<double>").alias("vec"))
-        kinds = dict(queries.dtypes) | {"label": dict(index.dtypes)["label"]}
-        scored = rows.mapInArrow(_partial(path, k, spec), f"qid {kinds['qid']}, label {kinds['label']}, pos long, sim double")
+        scored = _scored(queries, prefilter(index, groups), k, spec)
     else:
         raise ValueError(f"unknown engine: {engine}")
     return ranked(scored, k, cutoff).select("qid", "rank", "label", "sim")
@@ -132,23 +145,28 @@ def pair_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("id", F.col("vec").alias("va")).join(b.select("id", F.col("vec").alias("vb")), "id").select("id", dot("va", "vb").alias("sim"))
 
 
-def lsh_topk(queries: DataFrame, index: DataFrame, k: int = 10, width: float = 0.5, tables: int = 12, seed: int = 1) -> DataFrame:
-    """Approximate top k: rows that share a bucket with the query in any table of random projections, compared exactly.
+def lsh_topk(queries: DataFrame, index: DataFrame, k: int = 10, width: float = 2.0, tables: int = 32, seed: int = 1, planes: int = 4) -> DataFrame:
+    """Approximate top k: rows that share a bucket with the query in any table of ``planes`` random projections, compared exactly.
 
-    The projections are expressions over the vector's components, so hashing stays in the plan; the join is on (table, bucket).
+    Buckets are looked up block by block in the tasks of the exact search, so a pair that meets in several tables is compared once and is never a row.
     """
     first = index.select("vec").first()
     dims = len(first["vec"]) if first else 1
-    planes = np.random.default_rng(seed).normal(size=(tables, 2, dims))
-
-    def keys(vec: str) -> Column:
-        one = lambda p: F.floor(dot(vec, F.array(*[F.lit(float(x)) for x in p])) / width)
-        return F.array(*[F.xxhash64(F.lit(t), one(planes[t, 0]), one(planes[t, 1])) for t in range(tables)])
-
-    q = queries.select("qid", F.explode(keys("vec")).alias("key"))
-    near = index.select("label", "pos", F.explode(keys("vec")).alias("key")).join(small(q), "key").select("qid", "label", "pos").distinct()
-    scored = near.join(index.select("label", "vec"), "label").join(small(queries.select("qid", F.col("vec").alias("qvec"))), "qid").select("qid", "label", "pos", dot("vec", "qvec").alias("sim"))
-    return ranked(scored, k).select("qid", "rank", "label", "sim")
+    rng = np.random.default_rng(seed)
+    drawn, odd = rng.normal(size=(tables, planes, dims)), rng.integers(1 << 62, size=planes) * 2 + 1
+
+    def near(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        marked = np.zeros((len(q), len(x)), bool)
+        for p in drawn:
+            asked, key = (np.floor(v @ p.T / width).astype(np.int64) @ odd for v in (q, x))
+            order = np.argsort(key, kind="stable")
+            lo, hi = np.searchsorted(key[order], asked), np.searchsorted(key[order], asked, "right")
+            row = np.repeat(np.arange(len(q)), hi - lo)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - hi, hi - lo)
+            marked[row, order[at]] = True
+        return marked
+
+    return ranked(_scored(queries, index, k, near=near), k).select("qid", "rank", "label", "sim")
 
 
 def ivf_topk(queries: DataFrame, index: DataFrame, k: int = 10, cells: int = 16, nprobe: int = 4, sample: int = 100_000, seed: int = 1) -> DataFrame:
