@@ -119,6 +119,16 @@ def test_registered_lsh_recall(spark, scale):
     assert one(report.recall(found["knn_top10"](spark, d), found["lsh_neighbors"](spark, d)).agg(F.avg("recall"))) >= 0.9
 
 
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_registered_ivf_recall(spark, scale):
+    """The registered query, with its own parameters, over the whole table."""
+    d = f"/root/testdata/{scale}"
+    if not os.path.isdir(d):
+        pytest.skip("needs the test tables")
+    found = queries()
+    assert one(report.recall(found["knn_top10"](spark, d), found["ivf_neighbors"](spark, d)).agg(F.avg("recall"))) >= 0.9
+
+
 def test_upsert_and_delete(spark):
     idx = index_of(spark, [[1.0], [2.0], [3.0]])
     new = spark.createDataFrame([(9, 5, 0, [9.0]), (1, 7, 1, [20.0]), (8, 5, 2, [8.0])], "label long, grp int, ord long, vec array<double>")

@@ -169,17 +169,24 @@ def lsh_topk(queries: DataFrame, index: DataFrame, k: int = 10, width: float = 2
     return ranked(_scored(queries, index, k, near=near), k).select("qid", "rank", "label", "sim")
 
 
-def ivf_topk(queries: DataFrame, index: DataFrame, k: int = 10, cells: int = 16, nprobe: int = 4, sample: int = 100_000, seed: int = 1) -> DataFrame:
-    """Approximate top k in the ``nprobe`` cells nearest to the query; the cells are fitted on at most about ``sample`` rows, all rows are assigned."""
+def ivf_topk(queries: DataFrame, index: DataFrame, k: int = 10, cells: int = 16, nprobe: int = 12, sample: int = 100_000, seed: int = 1) -> DataFrame:
+    """Approximate top k in the ``nprobe`` cells nearest to the query; the cells are fitted on at most about ``sample`` rows, all rows are assigned.
+
+    Rows are assigned and compared in the tasks of the exact search, so no pair is a row.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     rows = index.withColumn("features", array_to_vector(doubles("vec")))
     share = min(1.0, sample / max(1, index.count()))
     fitted = KMeans(k=cells, seed=seed, featuresCol="features", predictionCol="cell").fit(rows if share == 1 else rows.sample(share, seed))
-    assigned = fitted.transform(rows).select("label", "pos", "vec", "cell")
-    centres = index.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(fitted.clusterCenters())], "cell int, centre array<double>")
-    near = queries.select("qid", F.col("vec").alias("qvec")).crossJoin(F.broadcast(centres)).select("qid", "qvec", "cell", F.col("cell").alias("pos"), dot("qvec", "centre").alias("sim"))
-    probes = ranked(near, nprobe).select("qid", "qvec", "cell")
-    scored = assigned.join(small(probes), "cell").select("qid", "label", "pos", dot("vec", "qvec").alias("sim"))
-    return ranked(scored, k).select("qid", "rank", "label", "sim")
+    centres = np.array(fitted.clusterCenters())
+
+    def near(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        cell = np.argmin((centres**2).sum(axis=1) - 2 * (x @ centres.T), axis=1)
+        probes = np.argsort(-np.round(q @ centres.T, 9), axis=1, kind="stable")[:, :nprobe]
+        asked = np.zeros((len(q), len(centres)), bool)
+        np.put_along_axis(asked, probes, True, axis=1)
+        return asked[:, cell]
+
+    return ranked(_scored(queries, index, k, near=near), k).select("qid", "rank", "label", "sim")
