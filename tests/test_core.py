@@ -209,6 +209,28 @@ def test_greedy_batches_order():
         embed.greedy_batches([9], 8)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_registered_packing_holds_all_text(spark):
+    """Documents beyond the limit of a batch are packed whole, in pieces."""
+    docs = {r.doc_id: r.n_chars for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "n_chars").collect()}
+    got, load = {}, {}
+    for r in queries()["pack_token_batches"](spark, "/root/testdata/sf0.01").collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r["size"]
+        load[r.source, r.batch_no] = load.get((r.source, r.batch_no), 0) + r["size"]
+    assert max(docs.values()) > 8192 and got == docs and max(load.values()) <= 8192
+
+
+def test_packing_of_a_hot_key_in_shards(spark):
+    rows = [("hot", i, 1 + i % 8) for i in range(200)] + [("cold", 900, 8), (None, 901, 3), (None, 902, 5)]
+    df = spark.createDataFrame(rows, "k string, i long, n int")
+    out = embed.pack_batches(df, "k", "i", "n", 8, shard_rows=20).collect()
+    assert sorted((r.k or "", r.i, r.n) for r in out) == sorted((k or "", i, n) for k, i, n in rows)
+    load = {}
+    for r in out:
+        load[r.k, r.batch_no] = load.get((r.k, r.batch_no), 0) + r.n
+    assert max(load.values()) <= 8 and {b for k, b in load if k == "hot"} == set(range(len(load) - 2)) and load[None, 0] == load["cold", 0] == 8
+
+
 def test_embedders(spark):
     e = embed.PandasEmbedder("len", 2, lambda: lambda ts: [[len(t), 1.0] for t in ts], batch_size=2)
     got = [r[0] for r in spark.createDataFrame([("aaa",), ("",), (None,), ("b",)], "t string").coalesce(1).select(e.column("t")).collect()]

@@ -11,12 +11,12 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import slices
-from ..plans.shared import ship
+from ..plans.shared import ship, small, written
 from .aggregates import signed_square_mean
 
 
@@ -224,17 +224,37 @@ def greedy_batches(sizes: list[int], limit: int) -> list[list[int]]:
     return out
 
 
-def pack_batches(df: DataFrame, key: str, ident: str, size: str, limit: int) -> DataFrame:
-    """(key, batch_no, ident, size): :func:`greedy_batches` within each key, in order of ``ident``. Keys are the unit of parallelism."""
+def split_sizes(df: DataFrame, size: str, limit: int) -> DataFrame:
+    """Each row once for every piece of at most ``limit`` of its ``size``, numbered in ``piece``; a row of size 0 is one piece."""
+    whole = df.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(size) / limit), F.lit(1)).cast("int") - 1)))
+    return whole.withColumn(size, F.least(F.lit(limit), F.col(size) - F.col("piece") * limit).cast(dict(df.dtypes)[size]))
+
+
+def pack_batches(df: DataFrame, key: str, ident: str | list[str], size: str, limit: int, shard_rows: int = 50_000) -> DataFrame:
+    """(key, batch_no, ident, size): :func:`greedy_batches` within each key, in order of ``ident``.
+
+    A key of more than ``shard_rows`` rows is divided by a hash of ``ident`` into shards of about that many, each packed by itself and numbered
+    after the one before, so no task has to hold a hot key.
+    """
     ship(df.sparkSession)
-    kinds = dict(df.dtypes)
+    ids = [ident] if isinstance(ident, str) else list(ident)
 
     def run(t: pa.Table) -> pa.Table:
-        f = t.to_pandas().sort_values(ident, kind="stable").reset_index(drop=True)
-        rows = [(f[key][i], b, f[ident][i], f[size][i]) for b, batch in enumerate(greedy_batches([int(x) for x in f[size]], limit)) for i in batch]
-        return pa.Table.from_pandas(pd.DataFrame(rows, columns=[key, "batch_no", ident, size]).astype({"batch_no": "int32"}), preserve_index=False)
-
-    return df.select(key, ident, size).groupBy(key).applyInArrow(run, f"{key} {kinds[key]}, batch_no int, {ident} {kinds[ident]}, {size} {kinds[size]}")
+        t = t.sort_by([(c, "ascending") for c in ids])
+        batches = greedy_batches(t.column(size).to_pylist(), limit)
+        at = np.array([i for batch in batches for i in batch], np.int64)
+        no = np.repeat(np.arange(len(batches), dtype=np.int64), [len(batch) for batch in batches])
+        return t.take(pa.array(at)).append_column("batch_no", pa.array(no))
+
+    shards = df.groupBy(F.col(key).alias("_key")).agg(F.ceil(F.count("*") / shard_rows).alias("_shards"))
+    rows = df.join(small(shards), F.col(key).eqNullSafe(F.col("_key"))).select(key, F.pmod(F.xxhash64(*ids), "_shards").alias("_shard"), *ids, size)
+    fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    packed, _ = written(rows.groupBy(key, "_shard").applyInArrow(run, f"{fields}, batch_no long"), "packed")
+    before = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    first = packed.groupBy(F.col(key).alias("_key"), F.col("_shard").alias("_of")).agg((F.max("batch_no") + 1).alias("n"))
+    first = first.select("_key", "_of", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
+    out = packed.join(small(first), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_shard") == F.col("_of")))
+    return out.select(key, (F.col("batch_no") + F.col("_first")).cast("int").alias("batch_no"), *ids, size)
 
 
 def cached_embedding(df: DataFrame, text: str, embedder: Embedder) -> DataFrame:

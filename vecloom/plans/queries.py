@@ -16,7 +16,7 @@ from ..functions.vec import next_power_of_two, normalize
 from ..operators import aggregates as A
 from ..operators import analytics, db, knn, limits, report
 from ..operators import index as I
-from ..operators.embed import HashEmbedder, embed_long, pack_batches
+from ..operators.embed import HashEmbedder, embed_long, pack_batches, split_sizes
 from .shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -414,8 +414,9 @@ def size_classes(spark, d):
 
 @register
 def pack_token_batches(spark, d):
-    docs = table(spark, d, "documents").select("source", "doc_id", F.least("n_chars", F.lit(8192)).alias("size"))
-    return pack_batches(docs, "source", "doc_id", "size", 8192)
+    """Every character is in a batch: a document of more than 8,192 is packed in pieces."""
+    docs = table(spark, d, "documents").select("source", "doc_id", F.coalesce("n_chars", F.length("text"), F.lit(0)).alias("size"))
+    return pack_batches(split_sizes(docs, "size", 8192), "source", ["doc_id", "piece"], "size", 8192)
 
 
 @register
