@@ -461,15 +461,68 @@ def test_join_groups_beyond_the_broadcast_limit(spark, monkeypatch):
     monkeypatch.setattr(_cluster, "HOT_SHARE", 0.3)
     left = spark.range(5000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("k"), "id")
     groups = left.groupBy("k").agg(F.count("*").alias("n"))
-    out = join_groups(left, groups, ["k"], "n", 5000)
+    out = join_groups(left, groups, ["k"], "n", 5000, "id")
     assert out.count() == 5000 and out.filter("k = 0 and n = 3000").count() == 3000
 
 
 def test_near_duplicates_without_broadcasts(spark, monkeypatch):
     from vecloom.llm import _cluster
 
-    for m in (_cluster, near_dedup):
-        monkeypatch.setattr(m, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(_cluster, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(near_dedup, "GROUP_SHINGLES", 100)  # many homes, so pairs meet in cells of two
+    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 2)
     pairs = [(i, prose(60, i % 5) + (" x" if i % 2 else "")) for i in range(20)]
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
     assert got == brute_components(pairs)
+
+
+def thue_morse(n, a="a", b="b"):
+    """Two words of n letters on which a polynomial hash modulo 2**64 agrees, whatever its multiplier, from 1,024 letters on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 8192])
+def test_hashes_and_ids_of_words_that_collide_in_polynomials(n):
+    x, y = thue_morse(n)
+    assert len({T.hash_of(x), T.hash_of(y), T.hash_of(x, fold=True), T.hash_of(y.upper())}) == 3 + (T.hash_of(x) != T.hash_of(x, fold=True))
+    assert T.hash_of(x.upper(), fold=True) == T.hash_of(x, fold=True) == T.hash_of(x)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        c = coder(vocabulary(name))
+        got = [np.frombuffer(b, c.dtype).tolist() for b in c.encode([f"some {x} here", f"some {y} here", x, y])]
+        assert got == [e.ids for e in c.tokenizer.encode_batch([f"some {x} here", f"some {y} here", x, y], add_special_tokens=False)]
+    data, offsets = T.buffers(pa.array([x, y]))
+    sets, bounds = near_dedup.shingle_sets(data, offsets)
+    assert bounds.tolist() == [0, 1, 2] and sets[0] != sets[1]
+    runs = T.mix(np.array([5, 6], np.uint64))[[int(c == "b") for c in x + y]]
+    h = T.sequence_hash(runs, np.array([0, n]), np.array([n, 2 * n]))
+    assert h[0] != h[1]
+
+
+def test_near_duplicates_with_one_doc_id_for_two_texts(spark):
+    """The rows of a doc_id are one vertex with the links of both texts; a row without words stands alone."""
+    a, b = prose(80, 31), prose(80, 32)
+    docs = [(1, a), (2, a + " x"), (2, b), (3, b + " y"), (4, prose(70, 33)), (3, "")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert [(d, c) for d, n, c in got if n] == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4)]
+    assert [(d, c) for d, n, c in got if not n] == [(3, 3)]
+    stay = near_dedup.drop_near_duplicates(spark.createDataFrame([(5, "b b b", "x"), (5, "a a", "y"), (5, None, "z"), (None, "c", "w")], "doc_id long, text string, kept string"))
+    assert rows(stay) == sorted([(5, None, "z"), (None, "c", "w")], key=repr)
+
+
+def test_texts_longer_than_a_block(spark):
+    """A text of several blocks is handled whole by every operator."""
+    long = prose(200_000, 41)
+    assert len(long) > 2 * T.BLOCK
+    df = spark.createDataFrame([(1, long + " a.b@c.example", "en", "x"), (2, long + " tail", "en", "x"), (3, B, "en", "y")], "doc_id long, text string, lang string, source string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+    c = coder(vocabulary("byte_bpe_50k.json"))
+    ids = [*c.tokenizer.encode(long + " tail", add_special_tokens=False).ids, 0]
+    pieces = packing.pack(df).filter("doc_id = 2").orderBy("start").collect()
+    assert [i for p in pieces for i in p.ids] == ids
+    (found,) = pii.find_personal_data(df).filter("doc_id = 1").collect()
+    assert found.n_email == 1 and found.spans.startswith(f"email:{len(long) + 1}:")
+    n = len(WORD.findall(long))
+    assert {r.doc_id: r.n_words for r in quality_rules.apply_rules(df, with_text=False).collect()} == {1: n + 1, 2: n + 1, 3: len(WORD.findall(B))}
+    assert [r.score for r in toxicity.score_toxicity(df, toxicity.fit([])).collect()] and quality_classifier.score_quality(df, quality_classifier.fit([], [])).count() == 3
+    assert {r.doc_id: r.n_tokens for r in arrow_output.round_trip(df).collect()}[2] == len(coder(vocabulary("word_bpe_49k.json")).tokenizer.encode(long + " tail", add_special_tokens=False).ids) + 1

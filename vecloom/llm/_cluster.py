@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a narrow table (a few numbers a row) may be broadcast; beyond it a shuffle join is planned.
@@ -42,16 +42,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/vecloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and no executor's loss undoes it."""
+def materialize(df: DataFrame, name: str, **observed: Column) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage is cut and no executor's loss undoes it.
+
+    Its number of rows, and the aggregates ``observed``, are taken as it is written: see :func:`seen`.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    seen_here = Observation()
+    df.observe(seen_here, F.count(F.lit(1)).alias("_rows"), *[c.alias(k) for k, c in observed.items()]).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._vecloom_path = path
+    out._vecloom_path, out._vecloom_seen = path, seen_here.get
     return out
 
 
+def seen(df: DataFrame, what: str = "_rows") -> int:
+    """What :func:`materialize` counted while it wrote ``df``; of other tables the rows are counted now."""
+    found = getattr(df, "_vecloom_seen", None)
+    return df.count() if found is None else int(found[what] or 0)
+
+
 def discard(*dfs: DataFrame) -> None:
     """Delete tables written by :func:`materialize` that no later plan reads."""
     for df in dfs:
@@ -89,21 +99,22 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows (counted unless given), else ``df`` itself."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most BROADCAST_ROWS rows (counted unless given), else ``df`` itself."""
+    return F.broadcast(df) if (seen(df) if rows is None else rows) <= BROADCAST_ROWS else df
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner", salts: int = 64) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, spread: str, how: str = "inner", salts: int = 64) -> DataFrame:
     """Join ``rows`` to their one line in ``groups`` without sending a hot key's rows to one task.
 
     ``groups`` has ``keys``, ``size`` (rows of that key) and payload. Small ``groups`` are broadcast. Otherwise the keys that hold more
-    than HOT_SHARE of ``total`` rows, fewer than 1 / HOT_SHARE of them, are replicated under ``salts`` salts and their rows spread over these.
+    than HOT_SHARE of ``total`` rows, fewer than 1 / HOT_SHARE of them, are replicated under ``salts`` salts and their rows spread over these,
+    by a hash of the rows' id ``spread``, so that a task that runs again gives the same.
     """
-    if groups.count() <= BROADCAST_ROWS // 4:
+    if seen(groups) <= BROADCAST_ROWS // 4:
         return rows.join(F.broadcast(groups), keys, how)
     hot = F.broadcast(groups.filter(F.col(size) > max(1000.0, total * HOT_SHARE)).select(*keys, F.lit(True).alias("_hot")))
-    left = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), (F.rand(7) * salts).cast("int")).otherwise(F.lit(0))).drop("_hot")
+    left = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_hot")
     right = groups.join(hot, keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
@@ -121,7 +132,7 @@ def components(edges: DataFrame) -> DataFrame:
     rounds: list[tuple[DataFrame, int]] = []
     while True:
         near = materialize(sym.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp")), "near")
-        n = near.count()
+        n = seen(near)
         if rounds and n == 0:
             discard(sym, near)
             break
@@ -130,11 +141,11 @@ def components(edges: DataFrame) -> DataFrame:
         discard(near)
         while True:
             up = maybe_broadcast(step.select(F.col("id").alias("comp"), F.col("comp").alias("next")), n)
-            new = materialize(step.join(up, "comp").select("id", F.col("comp").alias("old"), F.col("next").alias("comp")), "step")
-            changed = new.filter("comp <> old").limit(1).count()
+            new = materialize(step.join(up, "comp").select("id", F.col("comp").alias("old"), F.col("next").alias("comp")), "step", moved=F.count_if(F.col("comp") != F.col("old")))
+            changed = seen(new, "moved")
             discard(step)
             step = new.select("id", "comp")
-            step._vecloom_path = new._vecloom_path
+            step._vecloom_path, step._vecloom_seen = new._vecloom_path, new._vecloom_seen
             if not changed:
                 break
         rounds.append((step, n))

@@ -1,12 +1,14 @@
 """Vectorised text kernels over Arrow string buffers: words, lines, and rolling hashes without a Python loop over words.
 
-A substring's hash is taken from prefix sums of a polynomial in a fixed odd multiplier modulo 2**64, with a random 64-bit value for each
-byte, then mixed; so every word, line or prefix costs two lookups.
+A short substring's hash is taken from prefix sums of a polynomial in a fixed odd multiplier modulo 2**64, with a random 64-bit value for each
+byte, then mixed; so a word costs two lookups. Such polynomials have collisions that can be written down for every multiplier (Thue-Morse
+words) once a substring is long, so one of more than ``DIRECT`` bytes is hashed by itself with BLAKE2b.
 """
 
 from __future__ import annotations
 
 import ctypes
+from hashlib import blake2b
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,6 +35,10 @@ _pow = _ipow = np.ones(1, U64)
 
 #: Text bytes handled at once.
 BLOCK = 1 << 19
+#: Longest run of bytes, or of word hashes, that is hashed by prefix sums.
+DIRECT = 32
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,17 +109,31 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
     release()
 
 
+def _direct(h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``h`` with the places whose range of ``data`` is long filled by BLAKE2b."""
+    long = np.flatnonzero(end - start > DIRECT)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data)).cast("B")
+        width = data.dtype.itemsize
+        h[long] = np.frombuffer(b"".join([blake2b(raw[a:z], digest_size=8).digest() for a, z in zip((start[long] * width).tolist(), (end[long] * width).tolist())]), U64)
+    return h
+
+
 class Prefix:
     """Prefix sums over a block's bytes; ``of(start, end)`` hashes the byte ranges."""
 
     def __init__(self, data: np.ndarray, fold: bool = False):
         n = len(data)
+        self.data, self.fold = data, fold
         p, self.inv = _powers(n + 1)
         self.sums = np.zeros(n + 1, U64)
         np.cumsum((_FOLDED if fold else _BYTE)[data] * p[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inv[start])
+        h = mix((self.sums[end] - self.sums[start]) * self.inv[start])
+        if self.fold and len(h) and int((end - start).max()) > DIRECT:
+            self.data, self.fold = _LOWER[self.data], False  # the sums are made, so the bytes are only for long ranges from here on
+        return _direct(h, self.data, start, end)
 
 
 def hash_of(text: str, fold: bool = False) -> int:
@@ -148,7 +168,6 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     count = np.bincount(doc_of_cut, minlength=len(offsets) - 1) + 1
     first = np.zeros(len(offsets), np.int64)
     np.cumsum(count, out=first[1:])
-    doc = np.repeat(np.arange(len(offsets) - 1), count)
     # within a document: its start, then one line after each of its cuts
     start = np.empty(len(starts), np.int64)
     start[first[:-1]] = offsets[:-1]
@@ -159,7 +178,6 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     end[:-1] = start[1:] - 1
     last = first[1:] - 1
     end[last] = offsets[1:]
-    del doc
     return start, end, first
 
 
@@ -175,7 +193,7 @@ def sequence_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     p, inv = _powers(len(h) + 1)
     total = np.zeros(len(h) + 1, U64)
     np.cumsum(h * p[: len(h)], out=total[1:])
-    return mix((total[end] - total[start]) * inv[start])
+    return _direct(mix((total[end] - total[start]) * inv[start]), h, start, end)
 
 
 def signed(h: np.ndarray) -> np.ndarray:

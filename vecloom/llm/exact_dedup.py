@@ -54,7 +54,7 @@ def mark_duplicates(docs: DataFrame, payload: list[str] | None = None) -> DataFr
     groups = exact_duplicates(docs.select("doc_id", "text"))
     n = F.col("_n")
     rows = docs.select("doc_id", *(payload or []), normalised(F.col("text")).alias("_n")).select("doc_id", *(payload or []), F.length(n).alias("norm_len"), F.sha2(n, 256).alias("text_sha256"))
-    out = join_groups(rows, groups, ["norm_len", "text_sha256"], "group_size", groups.agg(F.sum("group_size")).first()[0] or 0, "left")
+    out = join_groups(rows, groups, ["norm_len", "text_sha256"], "group_size", groups.agg(F.sum("group_size")).first()[0] or 0, "doc_id", "left")
     alone = F.col("group_size").isNull()
     return out.select("doc_id", *(payload or []), F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (alone | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256", F.coalesce("tied", F.lit(1)).alias("tied"))
 

@@ -12,14 +12,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._cluster import discard, materialize, ship
+from ._cluster import ship
 from ._tokens import coder, vocabulary
 
 MAX_LEN, END_ID = 1024, 0
+#: A sequence_id has six bits for the length's exponent and 33 for the place in its task.
+_BUCKET_BITS, _SLOT_BITS = 6, 33
 
 
 def binary_pieces(n: np.ndarray, max_len: int = MAX_LEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,9 +60,10 @@ def _run(path: str, end_id: int, max_len: int, with_ids: bool):
             rank[order] = np.arange(len(bucket)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             slot = used[bucket] + rank
             used += sizes
-            columns = [b.column(k).take(pa.array(doc)) for k in b.schema.names if k != "text"]
-            columns += [pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(n[doc]), pa.array(bucket.astype(np.int32)), pa.array(np.full(len(doc), part, np.int64)), pa.array(slot)]
-            names = [k for k in b.schema.names if k != "text"] + ["start", "length", "ids_crc32", "doc_tokens", "bucket", "_part", "_slot"]
+            sequence = (part << _SLOT_BITS + _BUCKET_BITS) | (slot << _BUCKET_BITS) | bucket
+            columns = [b.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(n[doc])]
+            columns += [pa.array(sequence), pa.array(np.zeros(len(doc), np.int64)), pa.array(bucket.astype(np.int32))]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"]
             if with_ids:
                 bounds = np.zeros(len(doc) + 1, np.int32)
                 np.cumsum(length, out=bounds[1:])
@@ -72,24 +75,14 @@ def _run(path: str, end_id: int, max_len: int, with_ids: bool):
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, max_len: int = MAX_LEN, with_ids: bool = True) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, bucket, sequence_id, offset, and ids if asked.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (0, as each piece is a sequence), bucket, and ids if asked.
 
-    Sequence numbers run within each bucket in the input's order of partitions and rows: number k of bucket j is sequence k * (buckets) + j.
-    A null or empty text is the end id alone. Null and repeated doc_ids, and any other columns, don't matter; an empty table has no pieces.
+    A sequence_id is its task, its place among the task's pieces of this length, and the length's exponent in the last six bits; so it is unique without any
+    exchange between tasks, and one pass over the texts makes everything. A null or empty text is the end id alone. Null and repeated doc_ids,
+    and any other columns, don't matter; an empty table has no pieces.
     """
-    spark = docs.sparkSession
-    ship(spark)
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, _part long, _slot long" + (", ids array<int>" if with_ids else "")
-    pieces = docs.select("doc_id", "text").mapInArrow(_run(tokenizer or vocabulary("byte_bpe_50k.json"), end_id, max_len, with_ids), schema)
-    pieces = materialize(pieces, "pieces")
-    # a row for each bucket of each partition: small, and summed over the partitions before it in one window per bucket
-    counts = pieces.groupBy("bucket", "_part").agg(F.count("*").alias("c"))
-    before = F.sum("c").over(Window.partitionBy("bucket").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("c")
-    base = materialize(counts.select("bucket", "_part", before.alias("base")), "bases")
-    buckets = max_len.bit_length()
-    n_parts = base.count()
-    out = pieces.join(F.broadcast(base) if n_parts <= 1_000_000 else base, ["bucket", "_part"])
-    sequence = (F.col("base") + F.col("_slot")) * buckets + F.col("bucket")
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence.alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "bucket", *(["ids"] if with_ids else []))
+    ship(docs.sparkSession)
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int" + (", ids array<int>" if with_ids else "")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_run(tokenizer or vocabulary("byte_bpe_50k.json"), end_id, max_len, with_ids), schema)
