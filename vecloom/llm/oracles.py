@@ -32,7 +32,7 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM t JOIN g USING (n)
 """
 
-# A document is named by the line whose hash is least; any hash serves, so md5 stands here for the engine's own.
+# Distinct documents are distinct sets of lines.
 SQL["op6_quality_rules"] = r"""
 WITH t AS (
   SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -53,13 +53,10 @@ WITH t AS (
   SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM full_line GROUP BY doc_id
 ), norm AS (
   SELECT doc_id, host, array_to_string(lw, ' ') AS l, len(lw) AS k FROM full_line
-), named AS (
-  SELECT doc_id, host, l, k, min(md5(l)) OVER (PARTITION BY doc_id) AS name FROM norm
-), hosts AS (
-  SELECT host, count(DISTINCT name) AS all_docs FROM named GROUP BY host
+), names AS (
+  SELECT doc_id, md5(array_to_string(list_sort(list(DISTINCT l)), chr(10))) AS name FROM norm GROUP BY doc_id
 ), often AS (
-  SELECT host, l FROM (SELECT host, l, count(DISTINCT name) AS docs FROM named GROUP BY host, l) JOIN hosts USING (host)
-  WHERE docs >= 20 AND docs > 0.002 * all_docs
+  SELECT host, l FROM norm JOIN names USING (doc_id) GROUP BY host, l HAVING count(DISTINCT name) >= 20
 ), lost AS (
   SELECT doc_id, sum(k) AS removed_words FROM norm JOIN often USING (host, l) GROUP BY doc_id
 ), m AS (

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._cluster import discard, materialize, ship
+from ._cluster import materialize, seen, ship
 
 _U = np.uint64
 _SYMBOL = np.zeros(256, bool)
@@ -27,10 +27,9 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 
 @dataclass(frozen=True)
 class Rules:
-    """A line is too frequent in a host from ``min_docs`` distinct documents on, if these are also more than ``max_share`` of its documents."""
+    """A line is too frequent in a host from ``min_docs`` distinct documents on, whatever the host's size."""
 
     min_docs: int = 20
-    max_share: float = 0.002
     #: A document is rejected if fewer than this share of its words, or fewer than ``min_left`` words, are left once lines were removed.
     min_left_share: float = 0.25
     min_left: int = 30
@@ -60,7 +59,7 @@ def _host_hash(column: pa.Array) -> np.ndarray:
 
 
 def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key of host and line, document's name) once for each distinct line of a text, and once for the host itself."""
+    """(key of host and line, document's name) once for each distinct line of a text."""
     for b in T.blocks(batches):
         data, offsets = T.buffers(b.column("text"))
         *_, lf, n, h = _line_keys(data, offsets)
@@ -76,22 +75,16 @@ def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         name = T.mix(np.add.reduceat(T.mix(h ^ _U(0x77)), edge))
         names = np.repeat(name, np.diff(np.r_[edge, len(doc)]))
-        host = _host_hash(b.column(_HOST))
-        where = np.r_[T.mix(host[doc] * _U(3) + h), host[doc[edge]]]
-        hosts = np.r_[host[doc], host[doc[edge]]]
-        yield pa.RecordBatch.from_arrays([pa.array(T.signed(hosts)), pa.array(T.signed(where)), pa.array(T.signed(np.r_[names, name]))], ["host", "line", "name"])
+        where = T.mix(_host_hash(b.column(_HOST))[doc] * _U(3) + h)
+        yield pa.RecordBatch.from_arrays([pa.array(T.signed(where)), pa.array(T.signed(names))], ["line", "name"])
 
 
 def frequent_lines(docs: DataFrame, host: str, rules: Rules) -> DataFrame:
-    """(line): keys of host and line that are above the limits."""
-    pairs = docs.select("text", F.col(host).cast("string").alias(_HOST)).mapInArrow(_count_lines, "host long, line long, name long")
+    """(line): keys of host and line that are above the limit."""
+    pairs = docs.select("text", F.col(host).cast("string").alias(_HOST)).mapInArrow(_count_lines, "line long, name long")
     # the first grouping takes a line's rows by document too, so a line that all documents share is spread over all tasks
-    counts = pairs.groupBy("host", "line", "name").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("docs")).filter(f"docs >= {rules.min_docs} or host = line")
-    counts = materialize(counts, "lines")
-    hosts = counts.filter("host = line").select("host", F.col("docs").alias("all_docs"))
-    out = materialize(counts.filter(f"host <> line and docs >= {rules.min_docs}").join(hosts, "host").filter(F.col("docs") > rules.max_share * F.col("all_docs")).select("line"), "frequent")
-    discard(counts)
-    return out
+    counts = pairs.groupBy("line", "name").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("docs"))
+    return materialize(counts.filter(f"docs >= {rules.min_docs}").select("line"), "frequent")
 
 
 _MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -165,13 +158,14 @@ def apply_rules(docs: DataFrame, host: str = "source", rules: Rules = Rules(), w
 
     Measures are of the original text: n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words. base_failed: fewer than
     ``min_words`` words, or more than ``max_repeat_percent`` of them in repeated 3-word windows. kept: not base_failed, and no line was
-    removed or enough is left. A null text counts as empty, so it fails; a null host is a host of its own; repeated rows are judged alike.
+    removed or enough is left. A null text counts as empty, so it fails; a null host is a host of its own; repeated rows are judged alike; an empty table
+    gives no rows; other columns are not looked at, unless they are asked for as ``payload``.
     """
     spark = docs.sparkSession
     ship(spark)
     payload = ["doc_id"] if payload is None else payload
     lines = frequent_lines(docs, host, rules)
-    n = lines.count()
+    n = seen(lines)
     rounds = max(1, -(-n // rules.lines_a_pass))
     out = docs.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(payload)], "text", F.col(host).cast("string").alias(_HOST))
     for k in range(rounds):
@@ -194,7 +188,10 @@ def apply_rules(docs: DataFrame, host: str = "source", rules: Rules = Rules(), w
 
 
 def filter_by_rules(docs: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """``docs`` without the rejected rows and without frequent lines; columns as given, n_chars (if there) of the new text."""
+    """``docs`` without the rejected rows and without frequent lines; columns as given, n_chars (if there) of the new text.
+
+    Nulls, repeated rows and empty tables as in :func:`apply_rules`; extra columns go along, whatever their names.
+    """
     others = [c for c in docs.columns if c != "text"]
     out = apply_rules(docs.withColumnsRenamed({c: f"_in_{c}" for c in others if c != host}), host, rules, True, [c if c == host else f"_in_{c}" for c in others])
     out = out.filter("kept").select(*[F.col(c if c == host else f"_in_{c}").alias(c) for c in others], F.col("clean_text").alias("text"), F.col("removed_words").alias("_removed"))
