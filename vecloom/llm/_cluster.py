@@ -27,10 +27,12 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where that is unset one of our own, if all runs on this machine."""
     global _own_dir
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if _own_dir is None:
             _own_dir = tempfile.mkdtemp(prefix="vecloom-")
             atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -52,14 +54,17 @@ def materialize(df: DataFrame, name: str, **observed: Column) -> DataFrame:
     seen_here = Observation()
     df.observe(seen_here, F.count(F.lit(1)).alias("_rows"), *[c.alias(k) for k, c in observed.items()]).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._vecloom_path, out._vecloom_seen = path, seen_here.get
+    out._vecloom_path, out._vecloom_seen = path, {"_rows": None} | dict.fromkeys(observed) | seen_here.get
+    out._vecloom_asked = observed
     return out
 
 
 def seen(df: DataFrame, what: str = "_rows") -> int:
     """What :func:`materialize` counted while it wrote ``df``; of other tables the rows are counted now."""
-    found = getattr(df, "_vecloom_seen", None)
-    return df.count() if found is None else int(found[what] or 0)
+    found = getattr(df, "_vecloom_seen", {}).get(what)
+    if found is None:  # not written here, or a plan that was found to be empty, or a sum of no rows
+        return df.count() if what == "_rows" else int(df.agg(df._vecloom_asked[what]).first()[0] or 0)
+    return int(found)
 
 
 def discard(*dfs: DataFrame) -> None:
@@ -145,7 +150,7 @@ def components(edges: DataFrame) -> DataFrame:
             changed = seen(new, "moved")
             discard(step)
             step = new.select("id", "comp")
-            step._vecloom_path, step._vecloom_seen = new._vecloom_path, new._vecloom_seen
+            step._vecloom_path = new._vecloom_path
             if not changed:
                 break
         rounds.append((step, n))
@@ -170,3 +175,10 @@ def crc_mod(column: str, by: int) -> Column:
 def drop_columns(df: DataFrame, *names: str) -> DataFrame:
     """Without columns that an operator adds itself, so that clashing extra columns of the input don't matter."""
     return df.drop(*[n for n in names if n in df.columns])
+
+
+def one_row(df: DataFrame, key: str, tie: list[Column]) -> DataFrame:
+    """One row of ``df`` for each value of ``key``: that with the least ``tie``, then the least hash of its other columns."""
+    others = [F.to_json(F.struct(F.col(c))) for c in df.columns if c != key]
+    least = F.min_by(F.struct(*df.columns), F.struct(*tie, F.xxhash64(*others)))
+    return df.groupBy(key).agg(least.alias("_row")).select("_row.*")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._cluster import components, discard, join_groups, materialize, maybe_broadcast, seen, ship
+from ._cluster import components, discard, join_groups, materialize, maybe_broadcast, one_row, seen, ship
 
 ROWS, HALVES = 3, 16
 _U = np.uint64
@@ -262,8 +262,5 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     if not n:
         return stay.select(docs.columns)
     again = maybe_broadcast(again, n)
-    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
-    row = F.struct(*docs.columns)
-    least = F.min_by(row, F.struct("text", F.xxhash64(*[F.to_json(F.struct(c)) for c in others]) if others else F.lit(0)))
-    one = stay.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(least.alias("_row")).select("_row.*")
+    one = one_row(stay.join(again, "doc_id", "left_semi").select(docs.columns), "doc_id", [F.col("text")])
     return stay.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
