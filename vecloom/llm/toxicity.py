@@ -1,9 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Transducers for insults, threats, targets, negation and reported speech are composed into one machine that reads a clause's words as
-symbols. For each insult or threat it emits the word's weight on the channel that its states name: negated or not, reported or not, aimed at a
-target or not. A text's score is a logistic function of the channels' saturated sums, so matched clauses count, not words alone. The lexicon
-is seeded by hand; the words and stems that mark labelled texts are learnt from training rows, with log-odds weights, and so are the
+Weighted transducers for insults, threats, targets, negation and reported speech are composed into one machine that reads a clause's words as
+symbols; a backward machine has marked before which words a target follows. For each insult or threat it emits the word's weight times its
+arcs' weights on the channel that the states name: negated or not, reported or not, aimed at a target or not. A word without a target in its
+clause weighs less than half of one with it. A text's score is a logistic function of the channels' saturated sums. The lexicon is seeded by hand; the words and stems that mark labelled texts are learnt from training rows, with log-odds weights, and so are the
 channels' coefficients, starting from the grammar's own.
 """
 
@@ -44,30 +44,48 @@ BASE_WORDS = 50
 
 
 class Transducer:
-    """A machine over the six symbols: ``step[state, symbol]`` is the next state; ``flag[state, symbol]`` what holds for the symbol read."""
+    """A weighted machine: from ``state`` under ``symbol`` it goes to ``step``, says ``flag`` of the word read, and weighs it by ``weight``."""
 
-    def __init__(self, step: np.ndarray, flag: np.ndarray):
+    def __init__(self, step: np.ndarray, flag: np.ndarray, weight: np.ndarray | None = None):
         self.step, self.flag = step, flag
+        self.weight = np.ones(flag.shape) if weight is None else weight
 
     def compose(self, other: Transducer) -> Transducer:
-        """Both machines on the same input, their flags side by side."""
+        """Both machines on the same input: their flags side by side, the weights of their arcs multiplied."""
         n, m = len(self.step), len(other.step)
         a, b = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
-        return Transducer(self.step[a] * m + other.step[b], self.flag[a] * (int(other.flag.max()) + 1) + other.flag[b])
+        return Transducer(self.step[a] * m + other.step[b], self.flag[a] * (int(other.flag.max()) + 1) + other.flag[b], self.weight[a] * other.weight[b])
 
+    def over(self, alphabet: int) -> Transducer:
+        """The same machine on an alphabet ``alphabet`` times as large, of which it reads symbol % its own size."""
+        return Transducer(np.tile(self.step, alphabet), np.tile(self.flag, alphabet), np.tile(self.weight, alphabet))
 
-def _reach(symbol: int, words: int) -> Transducer:
-    """Flag 1 for ``words`` words after ``symbol``."""
+    def read(self, symbols: list[int]) -> Iterator[tuple[int, float]]:
+        step, flag, weight, state = self._lists()
+        for s in symbols:
+            yield flag[state][s], weight[state][s]
+            state = step[state][s]
+
+    def _lists(self) -> tuple:
+        if not hasattr(self, "_arcs"):
+            self._arcs = (self.step.tolist(), self.flag.tolist(), self.weight.tolist())
+        return *self._arcs, 0
+
+
+def _reach(symbol: int, words: int, weight: float = 1.0) -> Transducer:
+    """Flag 1, and ``weight``, for ``words`` words after ``symbol``."""
     step = np.maximum(np.arange(words + 1)[:, None] - 1, 0).repeat(6, 1)
     step[:, symbol] = words
-    return Transducer(step, (np.arange(words + 1)[:, None] > 0).astype(int).repeat(6, 1))
+    flag = (np.arange(words + 1)[:, None] > 0).astype(int).repeat(6, 1)
+    return Transducer(step, flag, np.where(flag, weight, 1.0))
 
 
-def _since(symbol: int) -> Transducer:
-    """Flag 1 from ``symbol`` on."""
+def _since(symbol: int, weight: float) -> Transducer:
+    """Flag 1, and ``weight``, from ``symbol`` on."""
     step = np.array([[0] * 6, [1] * 6])
     step[0, symbol] = 1
-    return Transducer(step, np.array([[0] * 6, [1] * 6]))
+    flag = np.array([[0] * 6, [1] * 6])
+    return Transducer(step, flag, np.where(flag, weight, 1.0))
 
 
 def _emit() -> Transducer:
@@ -75,24 +93,27 @@ def _emit() -> Transducer:
     return Transducer(np.zeros((1, 6), int), np.array([[0, 1, 2, 0, 0, 0]]))
 
 
-GRAMMAR = _emit().compose(_reach(NEGATION, NEGATION_REACH)).compose(_since(REPORT)).compose(_reach(TARGET, TARGET_REACH))
-_STEP, _FLAG = GRAMMAR.step.tolist(), GRAMMAR.flag.tolist()
+def _either(back: Transducer) -> Transducer:
+    """On pairs (symbol, mark of the backward machine): flag 1 where ``back``, reading forward, or the mark says so."""
+    flag = np.concatenate([back.flag, np.ones_like(back.flag)], 1)
+    return Transducer(np.tile(back.step, 2), flag, np.where(flag, 1.0, _BARE))
+
+
+#: What an insult or a threat without a target counts of one in a clause with it; and what is left of a negated one, and of a reported one.
+_BARE, _NEGATED, _REPORTED = 0.45, 0.5, 0.6
+#: Reads a clause from its end, and marks the words that a target follows.
+AHEAD = _reach(TARGET, TARGET_REACH)
+#: Reads the clause forward, each word's symbol with its mark from AHEAD: a flag is 8 * kind + 4 * negated + 2 * reported + targeted.
+GRAMMAR = _emit().compose(_reach(NEGATION, NEGATION_REACH, _NEGATED)).compose(_since(REPORT, _REPORTED)).over(2).compose(_either(_reach(TARGET, TARGET_REACH)))
 
 
 def read_clause(symbols: list[int], weights: list[float], rates: list[float], out: np.ndarray) -> None:
-    """Add what the clause's words emit to the 16 channels, 8 * threat + 4 * negated + 2 * reported + targeted, and their rates to the last place."""
-    state = 0
-    hits = []
-    for i, s in enumerate(symbols):
-        flag = _FLAG[state][s]
-        state = _STEP[state][s]
+    """Add what the clause's insults and threats weigh, by word and arc, to the 16 channels, 8 * threat + 4 * negated + 2 * reported + targeted, and their rates to the last place."""
+    ahead = [flag for flag, _ in AHEAD.read(symbols[::-1])][::-1]
+    for i, (flag, arc) in enumerate(GRAMMAR.read([s + 6 * a for s, a in zip(symbols, ahead)])):
         if flag >= 8:
-            hits.append((i, flag - 8))
-    for i, channel in hits:
-        if not channel & 1 and TARGET in symbols[i + 1 : i + 1 + TARGET_REACH]:
-            channel |= 1
-        out[channel] += weights[i]
-        out[CHANNELS] += rates[i] * (0.5 if channel & 4 else 1.0) * (0.6 if channel & 2 else 1.0)
+            out[flag - 8] += weights[i] * arc
+            out[CHANNELS] += rates[i] * arc
 
 
 @dataclass
@@ -267,11 +288,10 @@ def saturate(sums: np.ndarray) -> np.ndarray:
 
 
 def prior() -> np.ndarray:
-    """The grammar's own coefficients: negation and report soften, a target sharpens, a threat needs one."""
-    out = np.zeros(CHANNELS + 1)
-    for c in range(CHANNELS):
-        out[c] = (7.0 if not c & 8 else 1.0 if not c & 1 else 7.0) + (1.0 if c & 1 else 0.0)
-        out[c] *= (0.5 if c & 4 else 1.0) * (0.6 if c & 2 else 1.0)
+    """The grammar's own coefficients: its arcs already weigh negation, report and target; only a threat without a target says next to nothing."""
+    out = np.full(CHANNELS + 1, 8.0)
+    out[[c for c in range(8, CHANNELS) if not c & 1]] = 1.0
+    out[CHANNELS] = 0.0
     return out
 
 
