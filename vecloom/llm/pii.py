@@ -25,7 +25,6 @@ from ._cluster import discard, materialize, maybe_broadcast, ship
 KINDS = ("email", "ip", "card", "phone", "term")
 _U = np.uint64
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a digit before would only start the same run of digits later, where it fails alike
 _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
@@ -78,7 +77,7 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     """Spans (code points, end exclusive) of e-mail addresses, IP addresses, card and phone numbers."""
     out: list[list[tuple[int, int]]] = [_emails(text), [], [], []]
     for m in _IP.finditer(text):
-        if all(len(g) < 300 and int(g) <= 255 for g in m.groups()):
+        if all(len(g) <= 3 and int(g or "0") <= 255 for g in (x.lstrip("0") for x in m.groups())):
             out[1].append(m.span())
     for m in _CARD.finditer(text):
         digits = _DIGITS.sub("", m.group())
