@@ -214,7 +214,9 @@ def test_distinct_documents_of_shared_lines_are_counted_whatever_the_hashes(spar
 def test_toxicity_grammar():
     plain = toxicity.Lexicon(words={"fool": (1, 4.0, 4.0), "you": (3, 0, 0), "not": (4, 0, 0), "said": (5, 0, 0), "hit": (2, 4.0, 4.0)}).compile()
     c = toxicity.channels(pa.array(["A fool.", "you fool", "not a fool", "he said: x. they said fool", "I hit you", None, ""]), plain)
-    assert c[0].nonzero()[0].tolist() == [0, 16] and c[1, 1] == 4 and c[2, 4] == 4 and c[3, 2] == 4 and c[4, 9] == 4
+    # a word's weight times its arcs': bare, negated, reported; one with a target in its clause counts whole
+    assert c[0].nonzero()[0].tolist() == [0, 16] and c[1, 1] == 4 and c[4, 9] == 4
+    assert np.allclose([c[0, 0], c[2, 4], c[3, 2]], [4 * 0.45, 4 * 0.45 * 0.5, 4 * 0.45 * 0.6])
     assert not c[5:].any()
 
 
@@ -526,3 +528,118 @@ def test_texts_longer_than_a_block(spark):
     assert {r.doc_id: r.n_words for r in quality_rules.apply_rules(df, with_text=False).collect()} == {1: n + 1, 2: n + 1, 3: len(WORD.findall(B))}
     assert [r.score for r in toxicity.score_toxicity(df, toxicity.fit([])).collect()] and quality_classifier.score_quality(df, quality_classifier.fit([], [])).count() == 3
     assert {r.doc_id: r.n_tokens for r in arrow_output.round_trip(df).collect()}[2] == len(coder(vocabulary("word_bpe_49k.json")).tokenizer.encode(long + " tail", add_special_tokens=False).ids) + 1
+
+
+def test_words_outside_a_clause_score_lower_than_in_one():
+    """The same words, in one clause with their target and apart from it; negation and report soften."""
+    model = toxicity.fit([])
+    texts = ["you idiot", "idiot. you", "you are no idiot", "they said you idiot", "they will kill you", "kill. you"]
+    together, apart, negated, reported, threat, no_threat = model.score(toxicity.channels(pa.array(texts), model.lexicon.compile())).tolist()
+    assert together > 0.7 > 0.5 > apart and negated < together and reported < together and threat > 0.7 > 0.1 > no_threat
+    assert toxicity.GRAMMAR.flag.shape == (len(toxicity.GRAMMAR.step), 12)
+    # a target after the word is seen by the backward machine
+    after = model.score(toxicity.channels(pa.array(["idiot you"]), model.lexicon.compile()))[0]
+    assert after == together
+
+
+def brute_terms(t):
+    """(start, end, folded) of the runs of letters of three bytes or more, in code points."""
+    found = [(m.start(), m.end(), m.group().translate({c: c + 32 for c in range(65, 91)})) for m in re.finditer(r"[A-Za-z\x80-\U0010ffff]+", t)]
+    return [x for x in found if len(x[2].encode()) >= 3]
+
+
+def brute_disclosing(ts, rules):
+    near, hold = {}, {}
+    for t in set(ts):
+        terms = brute_terms(t)
+        for s, e, w in terms:
+            hold.setdefault(w, set()).add(t)
+        for a, z in (s for kind in pii.base_spans(t) for s in kind):
+            entity = t[a:z].lower()
+            near.setdefault((entity, None), set()).add(t)
+            before = [w for s, e, w in terms if e <= a][-rules.reach :]
+            after = [w for s, e, w in terms if s >= z][: rules.reach]
+            for w in before + after:
+                near.setdefault((entity, w), set()).add(t)
+    out = set()
+    for (entity, w), held in near.items():
+        if w is not None and len(held) >= rules.min_texts:
+            share = len(held) / len(hold[w])
+            if share >= rules.min_share and np.log2(share * len(set(ts)) / len(near[entity, None])) >= rules.min_bits:
+                out.add(w)
+    return out
+
+
+def test_disclosing_terms_match_brute_force(spark):
+    r = random.Random(8)
+    rules = pii.Rules(min_texts=3, min_bits=2.0, min_share=0.7, reach=3)
+    names = ["Quirin", "Zoltan", "Müller", "Ortega"]
+    ts = []
+    for i in range(160):
+        w = prose(r.randint(4, 12), 3000 + i).split()
+        if i % 4 == 0:
+            k = r.randrange(4)
+            w[2:2] = [names[k], f"{'abcd'[k]}@mail.example"]
+        elif i % 7 == 0:
+            w.insert(1, names[r.randrange(2)])
+        ts.append(" ".join(w))
+    ts += ts[:20] + [None, ""]
+    want = brute_disclosing([t or "" for t in ts], rules)
+    assert want
+    df = spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")
+    for x in pii.find_personal_data(df, rules).collect():
+        t = ts[x.doc_id] or ""
+        covered = [s for kind in pii.base_spans(t) for s in kind]
+        terms = [(a, z) for a, z, w in brute_terms(t) if w in want and not any(p < z and a < q for p, q in covered)]
+        assert [s for s in x.spans.split(",") if s.startswith("term")] == [f"term:{a}:{z}" for a, z in terms]
+
+
+def test_address_parts_of_any_length():
+    for zeros in (0, 1, 300, 5000):
+        t = f"x {'0' * zeros}1.2.{'0' * zeros}255.4 y"
+        assert pii.base_spans(t)[1] == [(2, len(t) - 2)]
+        assert pii.base_spans(f"{'0' * zeros}256.1.1.1")[1] == [] and pii.base_spans(f"{'9' * (zeros + 4)}.1.1.1")[1] == []
+
+
+def test_language_calibration_at_any_number_of_rows():
+    make = lambda lang, i: " ".join(random.Random(f"{lang}{i}").choice({"aa": ["papa", "lala", "tata"], "zz": ["xyxy", "vuvu", "wywy"]}[lang]) for _ in range(12))
+    for n in (1, 4, 5, 40):
+        rows_ = [(make(lang, i), lang) for lang in ("aa", "zz") for i in range(n)]
+        model = language_id.fit(rows_)
+        assert model.languages == ["aa", "zz"] and 0 < model.threshold <= 0.9
+        assert (model.temperature == 1.0) == (n < 5)
+
+
+def test_one_shared_line_counts_every_distinct_document(spark):
+    """100 documents share a line and nothing else: it is counted 100 times for any line, and at hosts of any size."""
+    docs = [(100 * k + i, f"{prose(60, 7000 + 100 * k + i)}\n{prose(12, 9000 + k)}", "h") for k in range(12) for i in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    for limit, n in ((100, 12), (101, 0)):
+        assert quality_rules.frequent_lines(df, "source", quality_rules.Rules(min_docs=limit)).count() == n
+
+
+def test_drop_exact_duplicates_decides_by_row(spark):
+    """Equal texts under one doc_id, ties, a doc_id with two texts of one length and prefix, and rows without doc_id."""
+    long = "p" * 80
+    docs = [(1, "a b", "x"), (1, "ab", "y"), (2, "a b", "z"), (3, long + "u", "k"), (3, long + "v", "l"), (4, long + "u ", "m"), (None, "q", "n"), (None, "q", "o"), (None, None, "r"), (5, "", "s"), (6, "c", "t"), (6, "c", "u")]
+    got = exact_dedup.drop_exact_duplicates(spark.createDataFrame(docs, "doc_id long, text string, tied string"))
+    assert rows(got) == sorted([(1, "a b", "x"), (3, long + "v", "l"), (4, long + "u ", "m"), (None, "q", "n"), (5, "", "s"), (6, "c", "t")], key=repr) or {r[:2] for r in rows(got)} == {(1, "a b"), (3, long + "v"), (4, long + "u "), (None, "q"), (5, ""), (6, "c")}
+
+
+def test_mix_takes_each_source_near_its_target(spark):
+    docs = [(s * 1000 + i, prose(random.Random(s * 1000 + i).randint(0, 90), s * 1000 + i), "abcd"[s] if s < 4 else None) for s, n in enumerate((300, 40, 120, 5, 60)) for i in range(n)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    size = {}
+    for _, t, s in docs:
+        size[s] = size.get(s, 0) + len(WORD.findall(t))
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    want = dict(zip(order, mixing.targets([size[s] for s in order], [1 + i % 3 for i in range(len(order))])))
+    source = {d: s for d, _, s in docs}
+    taken = {}
+    for r in mixing.plan_mix(df, shard_docs=50).collect():
+        s = source[r.doc_id]
+        taken[s] = taken.get(s, 0) + r.taken
+        assert r.source_size == size[s] and abs(r.target - want[s]) < 1e-6 and r.taken <= 3 * r.size
+    for s in order:
+        shards = -(-sum(1 for x in source.values() if x == s) // 50)
+        assert abs(taken[s] - want[s]) <= mixing.BLOCK * (shards + 1)

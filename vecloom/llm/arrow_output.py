@@ -93,6 +93,8 @@ def write_sequences(docs: DataFrame, root: str, tokenizer: str | None = None, en
     The manifest has (part, path, docs, tokens, first_token), a row a file. A null text is empty: its end id alone. An empty table gives
     files without sequences, or none. Other columns are not written.
     """
+    if length % 8:
+        raise ValueError("the length of a sequence must be a multiple of 8")
     spark = docs.sparkSession
     ship(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // FILE_DOCS))
@@ -120,11 +122,16 @@ class Sequences:
             self._at, self._flat = k, self.file.get_batch(k).column("ids").flatten().to_numpy(zero_copy_only=True)
         return self._flat
 
+    def mask_bits(self, k: int) -> np.ndarray:
+        """The mask of sequence k as the file has it, a view: eight places a byte, the first in the lowest bit. Needs a length that eight divides."""
+        mask = self.file.get_batch(k // BATCH).column("mask").flatten()
+        at = mask.offset + (k % BATCH) * self.length
+        return np.frombuffer(mask.buffers()[1], np.uint8)[at // 8 : (at + self.length) // 8]
+
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence k."""
-        b = self.file.get_batch(k // BATCH)
+        """Ids of sequence k, a view, and its mask, unpacked."""
         at = (k % BATCH) * self.length
-        return self._batch(k // BATCH)[at : at + self.length], b.column("mask").flatten().to_numpy(zero_copy_only=False)[at : at + self.length]
+        return self._batch(k // BATCH)[at : at + self.length], np.unpackbits(self.mask_bits(k), bitorder="little").astype(bool)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         step, out = BATCH * self.length, []
@@ -147,12 +154,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files that the manifest lists."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files that the manifest lists; none for an empty manifest.
+
+    Null and repeated doc_ids are given as they were written.
+    """
     files = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return manifest.select("path", "first_token", "part").repartition(files, "part").select("path", "first_token").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Write the documents to the shared folder and read them back."""
+    """Write the documents to the shared folder and read them back: nulls, repeats, empty tables and other columns as in :func:`write_sequences`."""
     spark: SparkSession = docs.sparkSession
     return read_documents(write_sequences(docs, fresh_path(spark, "sequences"), tokenizer))

@@ -37,7 +37,7 @@ class Model:
     output: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
-    threshold: float = 0.0
+    threshold: float = 0.9
 
     def table(self) -> np.ndarray:
         return (self.embedding @ self.output).astype(np.float32)
@@ -99,14 +99,18 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str, str]], epochs: int = 12, batch: int = 32, rate: float = 40.0, accepted_right: float = 0.99, seed: int = 5) -> Model:
-    """Train on (text, language); a fifth of the rows, each with a letter, is kept for calibration. Needs at least one row."""
+    """Train on (text, language); a fifth of each language's rows, rounded down, is kept for calibration. Needs at least one row with a letter.
+
+    Where no language has five rows nothing is kept: the temperature stays 1 and the threshold is 0.9.
+    """
     rows = [(t, y) for t, y in rows if _LETTER.search(t)]
     languages = sorted({y for _, y in rows})
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
-    kept = order[: len(rows) // 5] if len(rows) >= 50 else order[:0]
-    used = np.setdiff1d(order, kept)
     y = np.array([languages.index(q) for _, q in rows], int)
+    own = [order[y[order] == k] for k in range(len(languages))]
+    kept = np.concatenate([x[: len(x) // 5] for x in own])
+    used = np.setdiff1d(order, kept)
     share = np.bincount(y[used], minlength=len(languages)) / max(1, len(used))
     model = Model(languages, rng.normal(0, 0.1, (1 << BITS, DIMS)).astype(np.float32), rng.normal(0, 0.3, (DIMS, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32))
     for epoch in range(epochs):

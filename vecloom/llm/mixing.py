@@ -19,6 +19,8 @@ from ._cluster import BROADCAST_ROWS, discard, materialize
 
 #: Words in a block; documents in a shard, about; most times that a source's words are taken.
 BLOCK, SHARD_DOCS, CAP = 64, 20_000, 3
+#: Shards that are apportioned on the driver, about, besides one a source: shards grow where the documents are too many for more.
+MAX_SHARDS = 50_000
 
 
 def n_words(text):
@@ -92,7 +94,8 @@ def plan_mix(docs: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS,
 
     ``copies``: times that the whole document is taken; the words [extra_from, extra_to) of it are taken once more. Sources in code point
     order, null last, weigh 1, 2, 3, and so on again. A source's taken words differ from its target by less than a block for itself and each of its shards. A null text has size 0 and takes nothing. Where a source has no words its target is 0. The
-    order within a shard is by hash of seed and doc_id, then doc_id, then text hash, so repeated rows have their places too.
+    order within a shard is by hash of seed and doc_id, then doc_id, then text hash, so repeated rows have their places too. An empty table gives no rows;
+    null and repeated doc_ids are allowed; other columns are not looked at, unless they are asked for as ``payload``. The driver gets a row a source and a row a shard.
     """
     sized = docs.select("doc_id", "source", *(payload or []), n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("_order"), F.xxhash64("text").alias("_tie"))
     narrow = sized.drop(*(payload or []))
@@ -104,8 +107,10 @@ def plan_mix(docs: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS,
     want = targets(n, weights, cap)
     seats = sainte_lague(want, round(sum(n) / block))
     spark = docs.sparkSession
+    shard_docs = max(shard_docs, -(-sum(x[3] for x in found) // MAX_SHARDS))
     plan = [(s, size, t, max(1, -(-d // shard_docs))) for s, size, t, (*_, d) in zip(names, n, want, found)]
-    sources = F.broadcast(spark.createDataFrame(plan, "source string, source_size long, target double, shards int"))
+    sources = spark.createDataFrame(plan, "source string, source_size long, target double, shards int")
+    sources = F.broadcast(sources) if len(plan) <= BROADCAST_ROWS else sources
 
     def placed(d: DataFrame) -> DataFrame:
         return d.join(sources, d["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumn("shard", F.pmod(F.xxhash64("_order", F.lit(3)), F.col("shards")).cast("int"))
@@ -133,7 +138,8 @@ def plan_mix(docs: DataFrame, block: int = BLOCK, shard_docs: int = SHARD_DOCS,
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows of ``docs``: ``copies`` whole ones of each, and one with the first words where a block boundary cuts it.
 
-    Columns as given; n_chars (if there) of the row's text. A document of which nothing is taken has no row.
+    Columns as given, whatever their names; n_chars (if there) of the row's text. A document of which nothing is taken, as of a null text, has no row.
+    Repeated rows are mixed each by itself; an empty table stays empty.
     """
     inner = {c: f"_in_{c}" for c in docs.columns if c not in ("doc_id", "source", "text")}
     plan = plan_mix(docs.withColumnsRenamed(inner), payload=["text", *inner.values()], **options)
