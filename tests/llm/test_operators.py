@@ -272,7 +272,7 @@ def test_quality_attention(spark, odd, empty):
     assert quality_classifier.score_quality(odd, quality_classifier.fit_quality(odd, labels)).count() == len(ODD)
 
 
-def test_attention_gradient():
+def test_attention_weights():
     """Bags of one and of several passages go through one pass with weights that sum to 1 in each bag."""
     rng = np.random.default_rng(0)
     model = quality_classifier.fit([rng.normal(size=(n, quality_classifier.FEATURES)) for n in (1, 3, 2, 5)], [0, 1, 0, 1], epochs=3)
@@ -280,6 +280,74 @@ def test_attention_gradient():
     assert np.allclose(np.add.reduceat(weight, [0, 1]), 1) and ((p > 0) & (p < 1)).all()
 
 
+def plain_attention(model, x):
+    """The score of one bag, passage by passage, in plain Python."""
+    import math
+
+    w = {k: v.tolist() for k, v in model.w.items()}
+    hidden, scores = [], []
+    for row in ((x - model.mean) / model.scale).tolist():
+        h = [math.tanh(sum(a * w["H"][i][k] for i, a in enumerate(row)) + w["h"][k]) for k in range(len(w["h"]))]
+        gate = lambda m, k: sum(a * w[m][i][k] for i, a in enumerate(h))  # noqa: B023, E731
+        scores.append(sum(math.tanh(gate("V", k)) / (1 + math.exp(-gate("U", k))) * a for k, a in enumerate(w["a"])))
+        hidden.append(h)
+    e = [math.exp(s - max(scores)) for s in scores]
+    pooled = [sum(a * h[k] for a, h in zip(e, hidden)) / sum(e) for k in range(len(w["h"]))]
+    return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(pooled, w["o"])) + w["c"])))
+
+
+def test_attention_matches_a_plain_twin_and_its_gradient_the_differences():
+    rng = np.random.default_rng(1)
+    bags = [rng.normal(size=(n, quality_classifier.FEATURES)) for n in (1, 3, 2, 5)]
+    model = quality_classifier.fit(bags, [0, 1, 0, 1], epochs=2)
+    x, bag = np.concatenate(bags), np.array([0, 1, 4, 6, 11])
+    assert np.allclose(model.score(x, bag), [plain_attention(model, b) for b in bags])
+    y, importance = np.array([0.0, 1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5, 1.0])
+
+    def loss():
+        p = model.score(x, bag)
+        return float(-(importance * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
+
+    g = model.gradient(x, bag, y, importance)
+    for name, at in (("H", (3, 2)), ("h", (1,)), ("V", (2, 1)), ("U", (5, 3)), ("a", (4,)), ("o", (7,))):
+        was, step = model.w[name][at], 1e-5
+        model.w[name][at] = was + step
+        above = loss()
+        model.w[name][at] = was - step
+        below = loss()
+        model.w[name][at] = was
+        assert np.isclose(g[name][at], (above - below) / (2 * step), rtol=1e-4, atol=1e-8)
+
+
+def plain_language(model, t):
+    """The likeliest language and its probability, subword by subword, in plain Python."""
+    raw = t.lower().encode()
+    folded = [b if b >= 128 or 97 <= b <= 122 else 32 for b in raw]
+    vectors = []
+    for k in range(2, 5):
+        for i in range(len(raw) - k + 1):
+            if folded[i] != 32 or (i + 1 < len(raw) and folded[i + 1] != 32):
+                code = 0
+                for b in folded[i : i + k]:
+                    code = (code << 8 | b) & 0xFFFFFFFF
+                vectors.append(model.embedding[((code * (2654435761 + 2 * (k - 1))) & 0xFFFFFFFF) >> (32 - language_id.BITS)])
+    mean = np.mean(vectors, 0) if vectors else np.zeros(language_id.DIMS)
+    z = (mean @ model.output + model.bias) / model.temperature
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    return model.languages[int(p.argmax())], float(p.max())
+
+
+def test_language_prediction_matches_a_plain_twin():
+    rows_ = [(prose(30, i), "en") for i in range(20)] + [(prose(30, 100 + i).upper().replace("A", "Ä"), "de") for i in range(20)] + [("x", "fr")]
+    model = language_id.fit(rows_)
+    ts = [t for t, _ in rows_[::5]] + ["ä", "é à la", "A"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(ts))), pa.array(ts)], ["doc_id", "text"])
+    for b in language_id._predict(model)(iter([batch])):
+        for t, lang, score in zip(ts, b.column("lang_pred").to_pylist(), b.column("score").to_pylist()):
+            want, p = plain_language(model, t)
+            assert lang == want and abs(score - p) < 1e-4
+
+
 def test_encoding_is_by_text_alone():
     ts = ["", " x y", "A!! b", "  ", prose(200, 4)]
     x, bag = quality_classifier.encode(pa.array(ts))
@@ -643,3 +711,20 @@ def test_mix_takes_each_source_near_its_target(spark):
     for s in order:
         shards = -(-sum(1 for x in source.values() if x == s) // 50)
         assert abs(taken[s] - want[s]) <= mixing.BLOCK * (shards + 1)
+
+
+def test_pipeline_on_odd_rows(spark, odd, empty, tmp_path):
+    """Nulls, empty, blank and long texts, repeated rows and clashing columns go through all stages; so does an empty table."""
+    import corpus_pipeline
+
+    docs = odd
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        assert docs.count() or i == len(corpus_pipeline.STAGES)
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == before.columns
+    assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} <= {d for d, *_ in ODD}
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

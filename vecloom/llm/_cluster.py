@@ -18,11 +18,12 @@ BROADCAST_ROWS = 1_000_000
 #: A join key is hot when it holds more than this share of all rows, so there are fewer than 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 2000
 
-#: Bytes of an Arrow batch sent to Python: texts are handled in blocks of half a megabyte, so larger batches would only hold memory.
+#: Bytes of an Arrow batch sent to Python: texts are handled in blocks of a quarter of a megabyte, so larger batches would only hold memory.
 ARROW_BYTES = 4 << 20
 _ARROW_SETTING, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 _own_dir: str | None = None
+_paths: list[str] = []
 _shipped: set[str] = set()
 
 
@@ -41,7 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/vecloom/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/vecloom/{name}-{uuid.uuid4().hex[:12]}"
+    _paths.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str, **observed: Column) -> DataFrame:
@@ -75,6 +78,18 @@ def discard(*dfs: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
+def settle(df: DataFrame, name: str, before: DataFrame | None = None) -> DataFrame:
+    """``df`` written as by :func:`materialize`, after which all that this process wrote to make it is deleted, and ``before``, a table of the step before."""
+    out = materialize(df, name)
+    keep = {out._vecloom_path}
+    for path in [p for p in _paths if p not in keep]:
+        delete(df.sparkSession, path)
+    _paths[:] = [out._vecloom_path]
+    if before is not None:
+        discard(before)
+    return out
+
+
 def clear_shared(spark: SparkSession) -> None:
     """Delete all that this package has written to the shared folder; results not yet written elsewhere can't be read after it."""
     delete(spark, f"{shared_dir(spark)}/vecloom")

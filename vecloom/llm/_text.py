@@ -34,7 +34,7 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 _pow = _ipow = np.ones(1, U64)
 
 #: Text bytes handled at once.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Longest run of bytes, or of word hashes, that is hashed by prefix sums.
 DIRECT = 32
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -99,6 +99,23 @@ class Model:
         pooled = np.add.reduceat(hidden * weight[:, None], at)
         return z, hidden, t, s, weight, pooled, 1 / (1 + np.exp(-np.clip(pooled @ p["o"] + p["c"], -30, 30)))
 
+    def gradient(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray, importance: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean weighted logistic loss over the bags, by each of the weights."""
+        w = self.w
+        n = np.diff(bag)
+        z, hidden, t, s, weight, pooled, p = self.forward(x, bag)
+        d = (p - y) * importance / len(y)
+        g = {"o": pooled.T @ d, "c": d.sum()}
+        dp = np.repeat(d[:, None] * w["o"], n, axis=0)
+        inner = (dp * hidden).sum(1)
+        de = weight * (inner - np.repeat(np.add.reduceat(weight * inner, bag[:-1]), n))
+        g["a"] = (t * s).T @ de
+        dt, ds = de[:, None] * w["a"] * s * (1 - t**2), de[:, None] * w["a"] * t * s * (1 - s)
+        g["V"], g["U"] = hidden.T @ dt, hidden.T @ ds
+        dh = (dp * weight[:, None] + dt @ w["V"].T + ds @ w["U"].T) * (1 - hidden**2)
+        g["H"], g["h"] = z.T @ dh, dh.sum(0)
+        return g
+
     def score(self, x: np.ndarray, bag: np.ndarray) -> np.ndarray:
         return self.forward(x, bag)[-1] if len(bag) > 1 else np.zeros(0)
 
@@ -122,19 +139,8 @@ def fit(bags: list[np.ndarray], labels: list[int], epochs: int = 30, batch: int
         for i in range(0, len(order), batch):
             at = order[i : i + batch]
             x = np.concatenate([bags[k] for k in at])
-            n = np.array([len(bags[k]) for k in at])
-            bag = np.r_[0, np.cumsum(n)]
-            z, hidden, t, s, weight, pooled, p = model.forward(x, bag)
-            d = (p - y[at]) * importance[at] / len(at)
-            g = {"o": pooled.T @ d, "c": d.sum()}
-            dp = np.repeat(d[:, None] * w["o"], n, axis=0)
-            inner = (dp * hidden).sum(1)
-            de = weight * (inner - np.repeat(np.add.reduceat(weight * inner, bag[:-1]), n))
-            g["a"] = (t * s).T @ de
-            dt, ds = de[:, None] * w["a"] * s * (1 - t**2), de[:, None] * w["a"] * t * s * (1 - s)
-            g["V"], g["U"] = hidden.T @ dt, hidden.T @ ds
-            dh = (dp * weight[:, None] + dt @ w["V"].T + ds @ w["U"].T) * (1 - hidden**2)
-            g["H"], g["h"] = z.T @ dh, dh.sum(0)
+            bag = np.r_[0, np.cumsum([len(bags[k]) for k in at])]
+            g = model.gradient(x, bag, y[at], importance[at])
             step += 1
             now = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
             for k in w:
