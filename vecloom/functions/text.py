@@ -53,10 +53,10 @@ def _quote(s: str) -> str:
     return "\\Q" + s + "\\E"
 
 
-def run_name(c: str | Column) -> tuple[Column, Column, Column]:
-    """(model, max_len, quant) of ``org/model-maxlen-quant``: split at the last two hyphens."""
-    pattern = r"^(?:[^/]+/)?(.*)-([^-]*)-([^-]*)$"
-    return tuple(F.regexp_extract(col(c), pattern, k) for k in (1, 2, 3))
+def run_name(c: str | Column) -> tuple[Column, Column, Column, Column]:
+    """(org, model, max_len, quant) of ``org/model-maxlen-quant``: split at the first slash and the last two hyphens; no org is empty."""
+    pattern = r"^(?:([^/]*)/)?(.*)-([^-]*)-([^-]*)$"
+    return tuple(F.regexp_extract(col(c), pattern, k) for k in (1, 2, 3, 4))
 
 
 def strip_prefix(c: str | Column, prefix: str = "##") -> Column:
@@ -64,6 +64,11 @@ def strip_prefix(c: str | Column, prefix: str = "##") -> Column:
     return F.when(F.startswith(col(c), F.lit(prefix)), F.substring(col(c), len(prefix) + 1, 1 << 30)).otherwise(col(c))
 
 
+def truncate(c: str | Column, n: int) -> Column:
+    """The first ``n`` elements of an array."""
+    return F.slice(col(c), 1, n)
+
+
 def context_line(label: str | Column, text: str | Column) -> Column:
     return F.concat(col(label).cast("string"), F.lit(": "), col(text))
 

@@ -56,10 +56,10 @@ def next_power_of_two(x: str | Column) -> Column:
 
 
 def pool(states: str | Column, mask: str | Column | None = None, how: str = "mean") -> Column:
-    """Pool an ARRAY<ARRAY<DOUBLE>> of token states: masked mean, cls, last, max, or none for the states themselves."""
+    """Pool an ARRAY<ARRAY<DOUBLE>> of token states: masked mean, cls, last, max, or none for the states themselves, NaN where masked."""
     s = col(states)
     if how == "none":
-        return s
+        return s if mask is None else F.transform(s, lambda t, i: F.transform(t, lambda x: F.when(F.get(col(mask), i) > 0, x).otherwise(F.lit(float("nan")))))
     kept = s if mask is None else F.filter(s, lambda _, i: F.get(col(mask), i) > 0)
     if how == "cls":
         return F.get(s, F.lit(0))

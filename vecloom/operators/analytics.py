@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vec import dot
-from ..plans.shared import small
 from .aggregates import mean_vectors
 from .index import keep_first
+from .knn import window_topk
 
 
 def parse_date(c: str | Column) -> Column:
@@ -28,24 +28,14 @@ def days(c: str | Column) -> Column:
 def windowed_topk(focal: DataFrame, comparison: DataFrame, years: int = 5, ks: tuple[int, ...] = (10, 25, 50, 100), exclude_self: bool = False) -> DataFrame:
     """(label, pre_k..., pos_k...): mean of the k highest similarities to rows dated up to ``years`` before or on, and after, a focal row.
 
-    Both sides are (label, date, vec); a missing date is 1970-01-01; a window without rows gives null. Rows meet by buckets of the window's
-    width, each focal row in three of them, so the join is an equi-join whose cost follows the window.
+    Both sides are (label, date, vec); a missing date is 1970-01-01; a window without rows gives null. Similarities are made in blocks within the tasks that
+    hold the comparison rows, and only each task's best k leave it, so no pair is a row: see :func:`vecloom.operators.knn.window_topk`.
     """
-    span = 365 * years
-    day = days(F.coalesce("date", F.lit("1970-01-01").cast("date")))
-    f = focal.select(F.col("label").alias("f"), F.col("vec").alias("fv"), day.alias("fd")).withColumn("b", F.floor(F.col("fd") / span))
-    f3 = f.withColumn("b", F.explode(F.array(F.col("b") - 1, "b", F.col("b") + 1)))
-    c = comparison.select(F.col("label").alias("c"), F.col("vec").alias("cv"), day.alias("cd")).withColumn("b", F.floor(F.col("cd") / span))
-    diff = F.col("cd") - F.col("fd")
-    pairs = c.join(small(f3), "b").filter((diff > -span) & (diff <= span))
-    if exclude_self:
-        pairs = pairs.filter("f <> c")
-    scored = pairs.select("f", "c", F.when(diff <= 0, "pre").otherwise("pos").alias("side"), F.round(dot("fv", "cv"), 12).alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("f", "side").orderBy(F.col("sim").desc(), "c"))
-    best = scored.withColumn("rn", rank).filter(F.col("rn") <= max(ks))
-    means = [F.avg(F.when((F.col("side") == s) & (F.col("rn") <= k), F.col("sim"))).alias(f"{s}_{k}") for s in ("pre", "pos") for k in ks]
-    found = best.groupBy("f").agg(*means)
-    return focal.select("label").join(found, F.col("label") == F.col("f"), "left").drop("f")
+    day = days(F.coalesce("date", F.lit("1970-01-01").cast("date"))).alias("day")
+    best = window_topk(focal.select("label", day, "vec"), comparison.select("label", day, "vec"), 365 * years, max(ks), exclude_self)
+    means = [F.avg(F.when((F.col("side") == i) & (F.col("rank") <= k), F.col("sim"))).alias(f"{s}_{k}") for i, s in enumerate(("pre", "pos")) for k in ks]
+    found = best.groupBy("qid").agg(*means)
+    return focal.select("label").join(found, F.col("label") == F.col("qid"), "left").drop("qid")
 
 
 def year_of(date: str, min_year: int) -> Column:

@@ -7,13 +7,15 @@ from __future__ import annotations
 
 import json
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import quant as Q
 from ..functions.text import context_line, split_text
+from ..plans.shared import written
 from ..sources import files, snapshots
 from . import index as I
 from . import knn
@@ -55,12 +57,17 @@ class TextDB:
 
     @classmethod
     def from_batches(cls, spark: SparkSession, batches, **options) -> TextDB:
-        """From an iterable of lists of (label, text), added in turn."""
-        db, done = cls.create(spark, **options), 0
-        for batch in batches:
-            rows = [(x, t, None, done + i) for i, (x, t) in enumerate(batch)]
-            db, done = db.add(spark.createDataFrame(rows, "label string, text string, grp string, ord long")), done + len(rows)
-        return db
+        """From an iterable of lists of (label, text), or of DataFrames (label, text, grp, ord): one upsert of all, in which a later batch wins.
+
+        Batches that are lists are written to the shared folder as they come, so the plan doesn't grow with their number.
+        """
+        return cls.create(spark, **options).add(gather_batches(spark, batches))
+
+    @classmethod
+    def merge(cls, shards: list[TextDB]) -> TextDB:
+        """Text databases in order: of a label that several have the last one's row counts, at the first one's place; groups are kept."""
+        packed = [s.rows.select("label", "grp", "pos", F.struct("text", "vec").alias("vec")) for s in shards]
+        return replace(shards[0], rows=I.merge(packed).select("label", "grp", "pos", "vec.text", "vec.vec"))
 
     def add(self, rows: DataFrame) -> TextDB:
         """``rows(label, text, grp, ord)``: of a label given twice the last row counts, at the first place; known labels are overwritten."""
@@ -113,6 +120,22 @@ class TextDB:
         return cls(tables["rows"], embedder, Q.QuantSpec.from_json(about["spec"]))
 
 
+def gather_batches(spark: SparkSession, batches) -> DataFrame:
+    """(label, text, grp, ord, batch) of batches in turn: ord runs through all of them."""
+    out = None
+    for i, batch in enumerate(batches):
+        rows = batch if isinstance(batch, DataFrame) else spark.createDataFrame([(x, t, None, k) for k, (x, t) in enumerate(batch)], "label string, text string, grp string, ord long")
+        rows, _ = written(rows.select("label", "text", "grp", F.struct(F.lit(i).alias("batch"), F.col("ord").cast("long").alias("row")).alias("ord"), F.lit(i).alias("batch")), "batch")
+        out = rows if out is None else out.unionByName(rows)
+    return spark.createDataFrame([], "label string, text string, grp string, ord struct<batch:int,row:bigint>, batch int") if out is None else out
+
+
+def ingestion_counts(gathered: DataFrame) -> DataFrame:
+    """(batch, rows, total): rows of each batch, and of all up to it."""
+    each = gathered.groupBy("batch").agg(F.count("*").alias("rows"))
+    return each.withColumn("total", F.sum("rows").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
 def _named(df: DataFrame, name_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(name_col).alias("label"), F.col(text_col).alias("text"), F.lit(None).cast("string").alias("grp"), F.monotonically_increasing_id().alias("ord"))
 
@@ -128,9 +151,16 @@ def context(matches: DataFrame, texts: DataFrame) -> DataFrame:
     return lines.groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "line"))), lambda s: s["line"]), "\n\n").alias("context"))
 
 
-def chunk(docs: DataFrame, delim: str | None = "\n", min_len: int = 1, max_len: int | None = None) -> DataFrame:
-    """(doc, chunk_no, text) of ``docs(doc, text)``; documents without a part that is long enough vanish."""
-    return docs.filter("text is not null").select("doc", F.posexplode(split_text("text", delim, min_len, max_len)).alias("chunk_no", "text"))
+Splitter = Callable[[Column], Column]
+
+
+def chunk(docs: DataFrame, delim: str | None | Splitter = "\n", min_len: int = 1, max_len: int | None = None) -> DataFrame:
+    """(doc, chunk_no, text) of ``docs(doc, text)``; documents without a part that is long enough vanish.
+
+    ``delim`` is a regular expression, or a function of the text column that gives an array of texts, a Pandas UDF for one; lengths then don't matter.
+    """
+    parts = delim(F.col("text")) if callable(delim) else split_text("text", delim, min_len, max_len)
+    return docs.filter("text is not null").select("doc", F.posexplode(parts).alias("chunk_no", "text"))
 
 
 def rebuild(chunks: DataFrame, docs: DataFrame | None = None, separator: str = "\n\n") -> DataFrame:
@@ -145,7 +175,7 @@ def two_stage(queries: DataFrame, docs: DataFrame, chunks: DataFrame, top_d: int
     if top_d is None:
         return knn.topk(queries, chunks, k, None, cutoff, "arrow", spec)
     best = knn.topk(queries, docs.withColumn("grp", F.lit(None).cast("string")), top_d, engine="arrow").select("qid", F.col("label").alias("grp"))
-    asked = knn.small(best.join(queries.select("qid", F.col("vec").alias("qvec")), "qid"))
+    asked = knn.few_vectors(best.join(queries.select("qid", F.col("vec").alias("qvec")), "qid"), "qvec")
     scored = chunks.join(asked, "grp").select("qid", "label", "pos", Q.quantized_dot("vec", "qvec", spec).alias("sim"))
     return knn.ranked(scored, k, cutoff).select("qid", "rank", "label", "sim")
 
@@ -158,7 +188,7 @@ class DocumentDB:
     docs: DataFrame
     embedder: Embedder = field(default_factory=HashEmbedder)
     spec: Q.QuantSpec = Q.FLOAT
-    delim: str | None = "\n"
+    delim: str | None | Splitter = "\n"
     min_len: int = 1
     max_len: int | None = None
 
@@ -188,16 +218,17 @@ class DocumentDB:
         old = self.docs.join(names if replace_all else vectors.select("doc"), "doc", "left_anti")
         return replace(self, chunks=kept.select(self.chunks.columns).unionByName(new), docs=old.select("doc", "vec").unionByName(vectors))
 
-    def remove(self, names: list) -> DocumentDB:
-        gone = self.docs.sparkSession.createDataFrame([(n,) for n in names], f"doc {dict(self.docs.dtypes)['doc']}")
+    def remove(self, names: list | DataFrame) -> DocumentDB:
+        """Without the documents in a list of names or in ``names(doc)``; unknown ones don't matter."""
+        gone = names if isinstance(names, DataFrame) else self.docs.sparkSession.createDataFrame([(n,) for n in names], f"doc {dict(self.docs.dtypes)['doc']}")
         return replace(self, chunks=self.chunks.join(gone, "doc", "left_anti").select(self.chunks.columns), docs=self.docs.join(gone, "doc", "left_anti").select("doc", "vec"))
 
     def clear(self) -> DocumentDB:
         return replace(self, chunks=I.clear(self.chunks), docs=I.clear(self.docs))
 
-    def get(self, names: list) -> DataFrame:
-        """(ord, doc, text) in the order asked for."""
-        asked = self.docs.sparkSession.createDataFrame(list(enumerate(names)), f"ord int, doc {dict(self.docs.dtypes)['doc']}")
+    def get(self, names: list | DataFrame) -> DataFrame:
+        """(ord, doc, text) of a list of names, numbered as given, or of ``names(ord, doc)``."""
+        asked = names if isinstance(names, DataFrame) else self.docs.sparkSession.createDataFrame(list(enumerate(names)), f"ord int, doc {dict(self.docs.dtypes)['doc']}")
         return asked.join(rebuild(self.chunks, asked), "doc").select("ord", "doc", "text")
 
     def _doc_index(self) -> DataFrame:
@@ -214,14 +245,14 @@ class DocumentDB:
         q = _queries(self.docs.sparkSession, self.embedder, query)
         if top_d is None:
             return knn.topk(q, self._chunk_index(), top_k, None, cutoff, "sql", self.spec)
-        best = knn.topk(q, self._doc_index(), top_d, engine="sql").select("qid", F.col("label").alias("grp")).join(q.withColumnRenamed("vec", "qvec"), "qid")
-        scored = self._chunk_index().join(best, "grp").select("qid", "label", "pos", Q.quantized_dot("vec", "qvec", self.spec).alias("sim"))
-        return knn.ranked(scored, top_k, cutoff).select("qid", "rank", "label", "sim")
+        return two_stage(q, self._doc_index(), self._chunk_index(), top_d, top_k, cutoff, self.spec)
 
     def context(self, query, **options) -> DataFrame:
         return context(self.search_chunks(query, **options), self.chunks.select(F.struct("doc", "chunk_no").alias("label"), "text"))
 
     def save(self, path: str) -> None:
+        if callable(self.delim):
+            raise ValueError("a database with a splitter function can't be saved")
         about = {"embedder": self.embedder.name, "spec": self.spec.to_json(), "splitting": json.dumps([self.delim, self.min_len, self.max_len])}
         snapshots.save(path, {"chunks": self.chunks, "docs": self.docs}, about)
 
@@ -268,8 +299,8 @@ class FilesDB:
     def refresh(self, drop_missing: bool = False) -> FilesDB:
         out = self.reindex(self.changed())
         if drop_missing:
-            gone = [r["name"] for r in self.times.join(self.listing(), "name", "left_anti").select("name").collect()]
-            out = replace(out, db=out.db.remove(gone), times=out.times.filter(~F.col("name").isin(gone)))
+            gone, _ = written(self.times.join(self.listing(), "name", "left_anti").select("name"), "missing")
+            out = replace(out, db=out.db.remove(gone.withColumnRenamed("name", "doc")), times=out.times.join(gone, "name", "left_anti"))
         return out
 
     def save(self, path: str) -> None:

@@ -150,18 +150,63 @@ def vllm_embedder(model: str, dims: int) -> PandasEmbedder:
     return PandasEmbedder(model, dims, load, 1024)
 
 
-def http_embedder(url: str, model: str, dims: int, key: str | None = None, retries: int = 5, pause: float = 5.0) -> PandasEmbedder:
-    """An embedding server that takes {model, input} and gives data[i].embedding; retries are bounded, then the task fails."""
+class RateLimiter:
+    """Keeps what was asked for within ``limits`` over any ``span`` seconds: :meth:`take` waits until the amounts fit, and gives the seconds it waited.
+
+    An amount above its limit by itself waits for an empty span. Each task has a limiter of its own, so the limits of a job are its tasks' together.
+    """
+
+    def __init__(self, limits: dict[str, float], span: float = 70.0, clock=time.monotonic, sleep=time.sleep):
+        self.limits, self.span, self.clock, self.sleep = limits, span, clock, sleep
+        self.log: list[tuple[float, dict[str, float]]] = []
+
+    def wait_for(self, now: float, **amounts: float) -> float:
+        """Seconds until the span holds little enough: the youngest request that has to leave it decides."""
+        self.log = [x for x in self.log if x[0] > now - self.span]
+        wait = 0.0
+        for name, limit in self.limits.items():
+            room = limit - amounts.get(name, 0)
+            total = 0.0
+            for then, had in reversed(self.log):
+                total += had.get(name, 0)
+                if total > room:
+                    wait = max(wait, then + self.span - now)
+                    break
+        return wait
+
+    def take(self, **amounts: float) -> float:
+        wait = self.wait_for(self.clock(), **amounts)
+        if wait > 0:
+            self.sleep(wait)
+        self.log.append((self.clock(), amounts))
+        return wait
+
+
+def http_embedder(url: str, model: str, dims: int, key: str | None = None, retries: int = 5, pause: float = 5.0, tokenizer: str | None = None, max_len: int | None = None, limits: dict[str, float] | None = None, span: float = 70.0, batch_size: int = 256) -> PandasEmbedder:
+    """An embedding server that takes {model, input} and gives data[i].embedding; retries are bounded, then the task fails.
+
+    With a ``tokenizer`` file texts are cut to ``max_len`` tokens. ``limits`` has the most ``requests`` and ``tokens`` (characters / 4 without a
+    tokenizer) in ``span`` seconds for each task; divide a job's limits by its tasks. Empty texts are not sent.
+    """
 
     def load():
         import json
         import urllib.request
 
+        cut = token_cutter(tokenizer, max_len) if tokenizer else None
+        limiter = RateLimiter(limits, span) if limits else None
+
         def embed(texts: list[str]) -> np.ndarray:
+            counts = [len(t) // 4 for t in texts]
+            if cut:
+                pairs = [cut(t) for t in texts]
+                texts, counts = [t for t, _ in pairs], [n for _, n in pairs]
             body = json.dumps({"model": model, "input": texts}).encode()
             headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
             for left in range(retries, -1, -1):
                 try:
+                    if limiter:
+                        limiter.take(requests=1, tokens=sum(counts))
                     with urllib.request.urlopen(urllib.request.Request(url, body, headers), timeout=60) as r:
                         rows = sorted(json.load(r)["data"], key=lambda x: x["index"])
                     return np.array([x["embedding"] for x in rows])
@@ -172,7 +217,64 @@ def http_embedder(url: str, model: str, dims: int, key: str | None = None, retri
 
         return embed
 
-    return PandasEmbedder(model, dims, load, 256)
+    return PandasEmbedder(model, dims, load, batch_size)
+
+
+def token_cutter(tokenizer: str, max_len: int | None):
+    """A function of a text that gives its first ``max_len`` tokens' text, cut where they end in it, and their number."""
+    tok = lazy("tokenizers").Tokenizer.from_file(tokenizer)
+
+    def cut(text: str) -> tuple[str, int]:
+        e = tok.encode(text, add_special_tokens=False)
+        if max_len is None or len(e.ids) <= max_len:
+            return text, len(e.ids)
+        return text[: e.offsets[max_len - 1][1]], max_len
+
+    return cut
+
+
+def token_windows(text: str | Column, tokenizer: str, max_len: int, overlap: int = 0) -> Column:
+    """A text's pieces of at most ``max_len`` tokens, each with the last ``overlap`` tokens of the one before: the whole text is in them. An empty text is one empty piece."""
+    if not 0 <= overlap < max_len:
+        raise ValueError("overlap must be less than max_len")
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tok = lazy("tokenizers").Tokenizer.from_file(tokenizer)
+        for part in parts:
+            texts = part.fillna("").tolist()
+            out = []
+            for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False)):
+                # a piece goes from where its first token begins to where the next piece's first new token begins, so nothing between tokens is lost
+                starts = [0, *[a for a, _ in e.offsets[1:]], len(t)]
+                n, step = len(e.ids), max_len - overlap
+                firsts = [0] if n <= max_len else [0, *range(step, n - overlap, step)]
+                out.append([t[starts[k] : starts[min(k + max_len, n)]] for k in firsts] if n else [t])
+            yield pd.Series(out)
+
+    return F.pandas_udf(run, returnType=T.ArrayType(T.StringType()))(F.col(text) if isinstance(text, str) else text)
+
+
+def pooling_type(folder: str) -> str | None:
+    """The pooling that a local model folder's own configuration names (mean, cls, last or max), or None where it has none.
+
+    ``modules.json`` lists the model's modules, one of which is the pooling with its folder; a folder that is not there is an error of the caller's.
+    """
+    import json
+    import os
+
+    listing = os.path.join(folder, "modules.json")
+    if not os.path.exists(listing):
+        return None
+    with open(listing) as f:
+        paths = [m["path"] for m in json.load(f) if str(m.get("type", "")).endswith("Pooling")]
+    if not paths:
+        return None
+    with open(os.path.join(folder, paths[0], "config.json")) as f:
+        about = json.load(f)
+    for flag, name in (("mean_tokens", "mean"), ("cls_token", "cls"), ("lasttoken", "last"), ("max_tokens", "max")):
+        if about.get(f"pooling_mode_{flag}"):
+            return name
+    raise ValueError(f"pooling of {folder} is not supported")
 
 
 def np_pool(states: np.ndarray, mask: np.ndarray, how: str) -> np.ndarray:
@@ -187,13 +289,14 @@ def np_pool(states: np.ndarray, mask: np.ndarray, how: str) -> np.ndarray:
     if how == "max":
         return np.where(m > 0, states, -np.inf).max(1)
     if how == "none":
-        return states
+        return np.where(m > 0, states, np.nan)
     raise ValueError(f"unknown pooling: {how}")
 
 
-def embed_long(df: DataFrame, key: str, text: str, embedder: Embedder, width: int) -> DataFrame:
-    """(key, vec): texts cut to ``width`` characters, embedded, and brought back together by the signed-square mean."""
-    parts = df.select(key, F.explode_outer(slices(F.coalesce(text, F.lit("")), width)).alias("_part"))
+def embed_long(df: DataFrame, key: str, text: str, embedder: Embedder, width: int, tokenizer: str | None = None) -> DataFrame:
+    """(key, vec): texts cut to ``width`` characters, or with a ``tokenizer`` file to ``width`` tokens, embedded, and brought back together by the signed-square mean."""
+    whole = F.coalesce(text, F.lit(""))
+    parts = df.select(key, F.explode_outer(slices(whole, width) if tokenizer is None else token_windows(whole, tokenizer, width)).alias("_part"))
     return signed_square_mean(parts.select(key, embedder.column("_part").alias("vec")), [key])
 
 
@@ -264,6 +367,12 @@ def cached_embedding(df: DataFrame, text: str, embedder: Embedder) -> DataFrame:
     return keyed.join(once, "_h").drop("_h")
 
 
+def embedding_job(texts: DataFrame, embedder: Embedder, path: str, shards: int) -> None:
+    """Vectors of ``texts(id, text)`` written at ``path`` in ``shards`` folders (shard=k), by hash of the id: one job, whose tasks are the shards' workers."""
+    shard = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(shards)).cast("int")
+    texts.select("id", embedder.column("text").alias("vec"), shard.alias("shard")).write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
 def md5_bucket(word: str, dims: int) -> int:
     """The bucket that the hashing embedder gives a word."""
     return hashlib.md5(word.encode()).digest()[0] % dims

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import small, written
+
 COLUMNS = ["label", "grp", "pos", "vec"]
 
 
@@ -20,8 +22,6 @@ def with_positions(df: DataFrame, order: list[str], column: str = "pos", start:
 
     Rows are range-partitioned by ``order`` and numbered within their partition; the partitions' counts, a row each, give each its start.
     """
-    from ..plans.shared import written
-
     ranged, _ = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "ranged")
     local = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
@@ -39,6 +39,7 @@ def upsert(index: DataFrame, rows: DataFrame, strict: bool = False) -> DataFrame
 
     A label twice in ``rows`` raises; with ``strict`` so does a known one.
     """
+    rows = rows.select("label", "grp", "ord", "vec")
     rows = _require(rows, duplicates(rows), "label given twice")
     known = index.select("label", "pos")
     if strict:
@@ -90,8 +91,29 @@ def group_labels(index: DataFrame, groups: list) -> DataFrame:
 
 
 def group_ids(index: DataFrame) -> DataFrame:
-    """(grp, gid): dense numbers for the groups, by value."""
-    return index.select("grp").distinct().withColumn("gid", F.dense_rank().over(Window.orderBy("grp")) - 1)
+    """(grp, gid): dense numbers for the groups, by value; see :func:`with_positions` for how they are dealt out."""
+    return with_positions(index.select("grp").distinct(), ["grp"], "gid").select("grp", F.col("gid").cast("int").alias("gid"))
+
+
+def register_groups(known: DataFrame, index: DataFrame) -> DataFrame:
+    """``known(grp, gid)`` with the groups of ``index`` that it lacks, numbered from its end on by value; numbers once given stay."""
+    fresh = index.select("grp").distinct().join(known.withColumnRenamed("grp", "_k"), F.col("grp").eqNullSafe(F.col("_k")), "left_anti")
+    end = known.agg((F.coalesce(F.max("gid"), F.lit(-1)) + 1).alias("_end"))
+    numbered = with_positions(fresh, ["grp"], "gid").crossJoin(F.broadcast(end))
+    return known.select("grp", "gid").unionByName(numbered.select("grp", (F.col("gid") + F.col("_end")).cast("int").alias("gid")))
+
+
+def all_groups(index: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(label, pos, grp, gid) of all rows: each row's group and its number, which decodes back to the group."""
+    ids = group_ids(index) if ids is None else ids
+    return index.select("label", "pos", F.col("grp").alias("_g")).join(small(ids), F.col("_g").eqNullSafe(F.col("grp"))).select("label", "pos", "grp", "gid")
+
+
+def set_rows(index: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows(pos, vec)`` written over the vectors at these positions, as they are stored; a position that the index lacks raises."""
+    rows = _require(rows, rows.join(index.select("pos"), "pos", "left_anti").select("pos"), "no such position")
+    new = rows.select(F.col("pos").alias("_p"), F.col("vec").alias("_v"))
+    return index.join(new, index["pos"] == new["_p"], "left").select("label", "grp", "pos", F.coalesce("_v", "vec").alias("vec"))
 
 
 def merge(shards: list[DataFrame]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Exact and approximate nearest neighbours by inner product.
 
 The ``sql`` engine is one join and one ranked window. The ``arrow`` engine writes the queries to the shared folder; each task then multiplies
-its rows of the index with them block by block, keeps a partial top k for every query, and a window merges these. No side has to fit into
+its rows of the index with them block by block, keeps a running top k for every query, and a window merges these. No side has to fit into
 memory or a broadcast, and no pair is ever a row.
 
 Results are (qid, rank, label, sim): higher similarity first, compared at nine decimals, then smaller position.
@@ -22,10 +22,16 @@ from ..functions import quant as Q
 from ..functions.vec import dot, doubles
 from ..plans.shared import ship, small, written
 
-#: Queries up to which the sql engine broadcasts them.
-SQL_QUERIES = 100_000
-#: Rows of the index, and queries, multiplied at once.
-INDEX_ROWS, QUERY_ROWS = 4_096, 2_048
+#: Bytes of vectors that a broadcast may hold.
+VECTOR_BYTES = 128 << 20
+#: Bytes of the index's vectors multiplied at once; queries multiplied at once; bytes of running results that a task keeps.
+INDEX_BYTES, QUERY_ROWS, KEPT_BYTES = 32 << 20, 1_024, 64 << 20
+
+
+def few_vectors(df: DataFrame, vec: str = "vec") -> DataFrame:
+    """With a broadcast hint if the rows' vectors take at most VECTOR_BYTES; else as it is."""
+    first = df.select(F.size(vec).alias("n")).first()
+    return small(df, VECTOR_BYTES // (8 * max(1, first["n"] or 1) + 64)) if first else df
 
 
 def prefilter(index: DataFrame, groups: list | None, strict: bool = True) -> DataFrame:
@@ -42,10 +48,14 @@ def prefilter(index: DataFrame, groups: list | None, strict: bool = True) -> Dat
 
 
 def similarity(queries: DataFrame, index: DataFrame, groups: list | None = None, spec: Q.QuantSpec = Q.FLOAT) -> DataFrame:
-    """(qid, label, pos, sim) of every query with every row: the similarity matrix in long form, for a bounded set of queries."""
+    """(qid, label, pos, sim) of every query with every row: the similarity matrix in long form, for queries that fit in VECTOR_BYTES; others raise."""
     q = queries.select("qid", doubles("vec").alias("qvec"))
+    first = q.select(F.size("qvec").alias("n")).first()
+    most = VECTOR_BYTES // (8 * max(1, first["n"] or 1) + 64) if first else 1
+    if q.limit(most + 1).count() > most:
+        raise ValueError(f"a similarity matrix is for {most} queries at most; topk takes any number")
     score = Q.quantized_dot("vec", "qvec", spec)
-    return small(q, SQL_QUERIES).crossJoin(prefilter(index, groups)).select("qid", "label", "pos", score.alias("sim"))
+    return prefilter(index, groups).crossJoin(F.broadcast(q)).select("qid", "label", "pos", score.alias("sim"))
 
 
 def ranked(scored: DataFrame, k: int, cutoff: float | None = None, by: str = "qid") -> DataFrame:
@@ -55,70 +65,100 @@ def ranked(scored: DataFrame, k: int, cutoff: float | None = None, by: str = "qi
     return out if cutoff is None else out.filter(F.col("sim") > cutoff)
 
 
-def _partial(path: str, k: int, spec: Q.QuantSpec, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
-    """Top k of each block of the index for every query; only of the pairs that ``near(queries, rows)`` marks, if given."""
+Marks = Callable[[dict, dict], np.ndarray]
+
+
+def _best(row: np.ndarray, rounded: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each row, by higher similarity, then smaller position; in order of rows."""
+    order = np.lexsort((pos, -rounded, row))
+    ordered = row[order]
+    return order[np.arange(len(order)) - np.searchsorted(ordered, ordered) < k]
+
+
+def _partial(path: str, k: int, spec: Q.QuantSpec, sides: dict[int, Marks | None], extra: list[str], digits: int, window: int | None):
+    """The task's top k for every query and side; a side's function marks the pairs that count, from the columns of queries and rows."""
 
     def matrix(column: pa.Array, n: int) -> np.ndarray:
         return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, -1)
 
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.nbytes for x in held) >= INDEX_BYTES:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    def out(qids: pa.Array, side: int, row: np.ndarray, labels: pa.Array, pos: np.ndarray, sims: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([qids.take(pa.array(row)), pa.array(np.full(len(row), side, np.int32)), labels, pa.array(pos), pa.array(sims)], ["qid", "side", "label", "pos", "sim"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, where = fs.FileSystem.from_uri(path)
         queries = ds.dataset(where, filesystem=system, format="parquet")
-
-        def chunks() -> Iterator[pa.Table]:
-            held: list[pa.RecordBatch] = []
-            for b in batches:
-                held.append(b)
-                if sum(x.num_rows for x in held) >= INDEX_ROWS:
-                    yield pa.Table.from_batches(held).combine_chunks()
-                    held = []
-            if held:
-                yield pa.Table.from_batches(held).combine_chunks()
-
-        for t in chunks():
+        kept: dict[tuple, tuple] = {}
+        size = 0
+        for t in chunks(batches):
             if not t.num_rows:
                 continue
-            stored = t.column("vec").chunk(0)
-            x = matrix(stored, t.num_rows)
+            x = matrix(t.column("vec").chunk(0), t.num_rows)
             if spec.quantized:
                 x = Q.np_dequantize(x.astype(np.uint8), spec)
-            pos = t.column("pos").to_numpy()
-            for b in queries.to_batches(batch_size=QUERY_ROWS, columns=["qid", "vec"]):
-                if not b.num_rows:
-                    continue
-                q = matrix(b.column("vec"), b.num_rows)
-                sims = q @ x.T
-                m = min(k, t.num_rows)
-                rounded = np.round(sims, 9)
-                marked = None if near is None else near(q, x)
-                if marked is not None:
-                    rounded[~marked] = -np.inf
-                if m < t.num_rows:
-                    # all rows as good as the k-th: ties are settled by position when the parts are merged
-                    least = np.partition(rounded, t.num_rows - m, axis=1)[:, t.num_rows - m]
-                    best = rounded >= least[:, None]
-                    row, at = np.nonzero(best if marked is None else best & marked)
-                    if len(row) > 4 * m * b.num_rows:
-                        order = np.lexsort((pos[at], -rounded[row, at], row))
-                        row, at = row[order], at[order]
-                        first = np.searchsorted(row, row)
-                        keep = np.arange(len(row)) - first < m
-                        row, at = row[keep], at[keep]
-                elif marked is not None:
-                    row, at = np.nonzero(marked)
-                else:
-                    row, at = np.divmod(np.arange(b.num_rows * t.num_rows), t.num_rows)
-                yield pa.RecordBatch.from_arrays([b.column("qid").take(pa.array(row)), t.column("label").chunk(0).take(pa.array(at)), pa.array(pos[at]), pa.array(sims[row, at])], ["qid", "label", "pos", "sim"])
+            pos, labels = t.column("pos").to_numpy(), t.column("label").chunk(0)
+            mine = {c: t.column(c).to_numpy() for c in extra} | {"vec": x, "id": labels}
+            near = None if window is None else (ds.field("day") > int(mine["day"].min()) - window) & (ds.field("day") < int(mine["day"].max()) + window)
+            for fragment in queries.get_fragments() if near is None else (part for whole in queries.get_fragments() for part in whole.split_by_row_group(near)):
+                group = () if near is None else tuple(r.id for r in fragment.row_groups)
+                for number, b in enumerate(fragment.to_batches(batch_size=QUERY_ROWS, columns=["qid", "vec", *extra], batch_readahead=0)):
+                    if not b.num_rows:
+                        continue
+                    q = matrix(b.column("vec"), b.num_rows)
+                    qids = b.column("qid")
+                    sims = np.round(q @ x.T, digits) if digits > 9 else q @ x.T
+                    rounded = np.round(sims, 9) if digits == 9 else sims
+                    theirs = {c: b.column(c).to_numpy() for c in extra} | {"vec": q, "id": qids}
+                    for side, marks in sides.items():
+                        marked = None if marks is None else marks(theirs, mine)
+                        scores = rounded if marked is None else np.where(marked, rounded, -np.inf)
+                        if k < t.num_rows:
+                            # all rows as good as the k-th, at most; ties are settled by position below
+                            least = np.partition(scores, t.num_rows - k, axis=1)[:, t.num_rows - k]
+                            row, at = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+                        else:
+                            row, at = np.nonzero(scores > -np.inf)
+                        best = _best(row, scores[row, at], pos[at], k)
+                        row, at = row[best], at[best]
+                        new = (row, scores[row, at], labels.take(pa.array(at)), pos[at], sims[row, at])
+                        key = (fragment.path, group, number, side)
+                        old = kept.pop(key, None)
+                        if old is not None:
+                            size -= 32 * len(old[1][0])
+                            row, score, label, place, sim = (pa.concat_arrays([a, b]) if isinstance(a, pa.Array) else np.concatenate([a, b]) for a, b in zip(old[1], new))
+                            best = _best(row, score, place, k)
+                            new = (row[best], score[best], label.take(pa.array(best)), place[best], sim[best])
+                        if size + 32 * len(new[0]) <= KEPT_BYTES:
+                            kept[key] = (qids, new)
+                            size += 32 * len(new[0])
+                        elif len(new[0]):  # more queries than a task keeps results for: these go out now
+                            yield out(qids, side, new[0], new[2], new[3], new[4])
+        for (*_, side), (qids, (row, _, label, place, sim)) in kept.items():
+            if len(row):
+                yield out(qids, side, row, label, place, sim)
 
     return run
 
 
-def _scored(queries: DataFrame, index: DataFrame, k: int, spec: Q.QuantSpec = Q.FLOAT, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def _scored(queries: DataFrame, index: DataFrame, k: int, spec: Q.QuantSpec = Q.FLOAT, sides: dict[int, Marks | None] | None = None, extra: list[str] = [], digits: int = 9, window: int | None = None) -> DataFrame:
+    """(qid, side, label, pos, sim): each task's best, for ``sides`` that mark the pairs that count from columns ``extra`` of both tables.
+
+    With ``window`` a chunk of the index meets only the query files whose ``day`` lies nearer than that to one of its own.
+    """
     ship(queries.sparkSession)
-    _, path = written(queries.select("qid", "vec"), "queries")
-    rows = index.select("label", "pos", F.col("vec").cast("array<int>" if spec.quantized else "array<double>").alias("vec"))
+    _, path = written(queries.select("qid", F.col("vec").cast("array<double>").alias("vec"), *extra), "queries")
+    rows = index.select("label", "pos", F.col("vec").cast("array<int>" if spec.quantized else "array<double>").alias("vec"), *extra)
     kinds = dict(queries.dtypes) | {"label": dict(index.dtypes)["label"]}
-    return rows.mapInArrow(_partial(path, k, spec, near), f"qid {kinds['qid']}, label {kinds['label']}, pos long, sim double")
+    return rows.mapInArrow(_partial(path, k, spec, sides or {0: None}, extra, digits, window), f"qid {kinds['qid']}, side int, label {kinds['label']}, pos long, sim double")
 
 
 def topk(queries: DataFrame, index: DataFrame, k: int = 10, groups: list | None = None, cutoff: float | None = None, engine: str = "arrow", spec: Q.QuantSpec = Q.FLOAT) -> DataFrame:
@@ -155,7 +195,8 @@ def lsh_topk(queries: DataFrame, index: DataFrame, k: int = 10, width: float = 2
     rng = np.random.default_rng(seed)
     drawn, odd = rng.normal(size=(tables, planes, dims)), rng.integers(1 << 62, size=planes) * 2 + 1
 
-    def near(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    def near(theirs: dict, mine: dict) -> np.ndarray:
+        q, x = theirs["vec"], mine["vec"]
         marked = np.zeros((len(q), len(x)), bool)
         for p in drawn:
             asked, key = (np.floor(v @ p.T / width).astype(np.int64) @ odd for v in (q, x))
@@ -166,7 +207,7 @@ def lsh_topk(queries: DataFrame, index: DataFrame, k: int = 10, width: float = 2
             marked[row, order[at]] = True
         return marked
 
-    return ranked(_scored(queries, index, k, near=near), k).select("qid", "rank", "label", "sim")
+    return ranked(_scored(queries, index, k, sides={0: near}), k).select("qid", "rank", "label", "sim")
 
 
 def ivf_topk(queries: DataFrame, index: DataFrame, k: int = 10, cells: int = 16, nprobe: int = 12, sample: int = 100_000, seed: int = 1) -> DataFrame:
@@ -182,11 +223,38 @@ def ivf_topk(queries: DataFrame, index: DataFrame, k: int = 10, cells: int = 16,
     fitted = KMeans(k=cells, seed=seed, featuresCol="features", predictionCol="cell").fit(rows if share == 1 else rows.sample(share, seed))
     centres = np.array(fitted.clusterCenters())
 
-    def near(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    def near(theirs: dict, mine: dict) -> np.ndarray:
+        q, x = theirs["vec"], mine["vec"]
         cell = np.argmin((centres**2).sum(axis=1) - 2 * (x @ centres.T), axis=1)
         probes = np.argsort(-np.round(q @ centres.T, 9), axis=1, kind="stable")[:, :nprobe]
         asked = np.zeros((len(q), len(centres)), bool)
         np.put_along_axis(asked, probes, True, axis=1)
         return asked[:, cell]
 
-    return ranked(_scored(queries, index, k, near=near), k).select("qid", "rank", "label", "sim")
+    return ranked(_scored(queries, index, k, sides={0: near}), k).select("qid", "rank", "label", "sim")
+
+
+def window_topk(focal: DataFrame, comparison: DataFrame, span: int, k: int, exclude_self: bool = False) -> DataFrame:
+    """(qid, side, rank, sim): for each row of ``focal(label, day, vec)`` the k best of ``comparison(label, day, vec)`` dated in (day - span, day], side 0, and in (day, day + span], side 1.
+
+    Both are put in order of days, so that a task meets only the files of focal rows whose windows reach its own days; a day that many rows share is split by label.
+    """
+    order = ["day", "label"]
+    q = focal.select(F.col("label").alias("qid"), "vec", "day")
+    parts = int(focal.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = q.repartitionByRange(parts, "day", "qid").sortWithinPartitions("day", "qid")
+    rows = comparison.select("label", F.xxhash64("label").alias("pos"), "vec", "day").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+    def side(after: bool) -> Marks:
+        def marks(theirs: dict, mine: dict) -> np.ndarray:
+            gap = mine["day"][None, :].astype(np.int64) - theirs["day"][:, None]
+            out = (gap > 0) & (gap <= span) if after else (gap <= 0) & (gap > -span)
+            if exclude_self:
+                out &= np.asarray(theirs["id"])[:, None] != np.asarray(mine["id"])[None, :]
+            return out
+
+        return marks
+
+    found = _scored(q, rows, k, sides={0: side(False), 1: side(True)}, extra=["day"], digits=12, window=span + 1)
+    order = Window.partitionBy("qid", "side").orderBy(F.col("sim").desc(), F.col("pos"))
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "side", "rank", "sim")

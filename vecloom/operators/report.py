@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
+import time
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import run_name
 from ..functions.vec import dot
@@ -33,8 +35,34 @@ def benchmark_report(results: DataFrame, keys: list[str], benches: list[str], gr
 
 
 def parse_runs(results: DataFrame, name: str) -> DataFrame:
-    model, max_len, quant = run_name(name)
-    return results.select("*", model.alias("model"), max_len.cast("int").alias("max_len"), quant.alias("quant"))
+    """``results`` with org, model, max_len and quant of a column of run names."""
+    org, model, max_len, quant = run_name(name)
+    return results.select("*", org.alias("org"), model.alias("model"), max_len.cast("int").alias("max_len"), quant.alias("quant"))
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """Long results (run, split, bench, metric) as one JSON object a line, in a folder for each run and task; :func:`read_results` reads them."""
+    body = F.to_json(F.create_map("split", F.create_map(F.lit("metric"), F.col("metric"))))
+    parts = results.select(F.replace("run", F.lit("/"), F.lit("__")).alias("run"), "bench", body.alias("value"))
+    parts.write.mode("overwrite").partitionBy("run", "bench").text(path)
+
+
+def read_results(spark: SparkSession, path: str, split: Callable[[str], Column] | None = None) -> DataFrame:
+    """(org, model, max_len, quant, bench, metric) of what :func:`write_results` wrote; ``split(bench)`` names the split to take, ``test`` by default."""
+    rows = spark.read.option("basePath", path).schema("value string, run string, bench string").text(path)
+    wanted = F.lit("test") if split is None else split("bench")
+    by_split = F.from_json("value", "map<string,map<string,double>>")
+    found = rows.select(F.replace("run", F.lit("__"), F.lit("/")).alias("run"), "bench", F.try_element_at(F.try_element_at(by_split, wanted), F.lit("metric")).alias("metric"))
+    return parse_runs(found.filter("metric is not null"), "run").drop("run").select("org", "model", "max_len", "quant", "bench", "metric")
+
+
+def evaluate(tasks: dict[str, tuple[DataFrame, DataFrame]], run: str, split: str = "test") -> DataFrame:
+    """Long results (run, split, bench, metric) of retrieval tasks, each an exact ranking and another one: the mean nDCG over the task's queries."""
+    out = None
+    for bench, (exact, other) in tasks.items():
+        row = ndcg(exact, other).agg(F.avg("ndcg").alias("metric")).select(F.lit(run).alias("run"), F.lit(split).alias("split"), F.lit(bench).alias("bench"), "metric")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def recall(exact: DataFrame, other: DataFrame) -> DataFrame:
@@ -56,21 +84,99 @@ def embedding_parity(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.withColumnRenamed("vec", "other"), "id").select("id", dot("vec", "other").alias("sim"))
 
 
+def embedder_parity(texts: DataFrame, one, other, max_len: int | None = 512) -> DataFrame:
+    """(id, sim) of ``texts(id, text)`` under two embedders, the texts cut to ``max_len`` characters."""
+    text = F.col("text") if max_len is None else F.substring("text", 1, max_len)
+    cut = texts.select("id", text.alias("text"))
+    return embedding_parity(cut.select("id", one.column("text").alias("vec")), cut.select("id", other.column("text").alias("vec")))
+
+
+def edit_script(a: list, b: list) -> list[tuple[str, int, int]]:
+    """(op, place in a, place in b) of a least number of replacements, insertions and deletions that turn ``a`` into ``b``, in order.
+
+    Where several scripts are as short, the one is taken that from the end prefers a match or replacement, then a deletion.
+    """
+    lo = 0
+    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
+        lo += 1
+    names = {x: i for i, x in enumerate(dict.fromkeys([*a[lo:], *b[lo:]]))}
+    x, y = np.array([names[t] for t in a[lo:]], np.int64), np.array([names[t] for t in b[lo:]], np.int64)
+    cost = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    cost[0] = steps = np.arange(len(y) + 1)
+    for i in range(1, len(x) + 1):
+        row = np.empty(len(y) + 1, np.int64)
+        row[0] = i
+        row[1:] = np.minimum(cost[i - 1, :-1] + (y != x[i - 1]), cost[i - 1, 1:] + 1)
+        cost[i] = np.minimum.accumulate(row - steps) + steps  # insertions along the row
+    i, j, out = len(x), len(y), []
+    while i or j:
+        if i and j and cost[i, j] == cost[i - 1, j - 1] + (x[i - 1] != y[j - 1]):
+            i, j = i - 1, j - 1
+            if x[i] != y[j]:
+                out.append(("replace", lo + i, lo + j))
+        elif i and cost[i, j] == cost[i - 1, j] + 1:
+            i -= 1
+            out.append(("delete", lo + i, lo + j))
+        else:
+            j -= 1
+            out.append(("insert", lo + i, lo + j))
+    return out[::-1]
+
+
 def _edits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        rows = []
-        for key, a, b in zip(f["id"], f["a"], f["b"]):
-            for op, i1, i2, j1, j2 in SequenceMatcher(None, list(a), list(b), autojunk=False).get_opcodes():
-                if op != "equal":
-                    rows.append((key, op, i1, i2, j1, j2))
-        yield pd.DataFrame(rows, columns=["id", "op", "i1", "i2", "j1", "j2"])
+        rows = [(key, op, i, j) for key, a, b in zip(f["id"], f["a"], f["b"]) for op, i, j in edit_script(list(a), list(b))]
+        yield pd.DataFrame(rows, columns=["id", "op", "i", "j"])
 
 
 def edit_operations(pairs: DataFrame) -> DataFrame:
-    """(id, op, i1, i2, j1, j2) that turn token list a into b, for rows (id, a, b) that differ."""
+    """(id, op, i, j): a shortest edit script that turns token list a into b, for rows (id, a, b) that differ."""
     kind = dict(pairs.dtypes)["id"]
-    return pairs.filter("a <> b").mapInPandas(_edits, f"id {kind}, op string, i1 int, i2 int, j1 int, j2 int")
+    return pairs.filter("a <> b").mapInPandas(_edits, f"id {kind}, op string, i int, j int")
+
+
+def tokens_of(text: str | Column, tokenizer: str, prefix: str = "##") -> Column:
+    """Tokens of a text by a vocabulary file of the tokenizers library: continuations without their prefix, other tokens after a blank."""
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from .embed import lazy
+
+        tok = lazy("tokenizers").Tokenizer.from_file(tokenizer)
+        for part in parts:
+            found = tok.encode_batch(part.fillna("").tolist(), add_special_tokens=False)
+            yield pd.Series([[t.removeprefix(prefix) if t.startswith(prefix) else f" {t}" for t in e.tokens] for e in found])
+
+    return F.pandas_udf(run, returnType=T.ArrayType(T.StringType()))(F.col(text) if isinstance(text, str) else text)
+
+
+def tokenizer_parity(texts: DataFrame, one: str, other: str, max_len: int | None = 512) -> DataFrame:
+    """Edit scripts between the tokens of two vocabulary files, for the rows of ``texts(id, text)``, cut to ``max_len`` characters, on which they differ."""
+    text = F.col("text") if max_len is None else F.substring("text", 1, max_len)
+    return edit_operations(texts.select("id", tokens_of(text, one).alias("a"), tokens_of(text, other).alias("b")))
 
 
 def throughput(rows: int, seconds: float) -> dict[str, float]:
     return {"rows": rows, "seconds": seconds, "rows_per_second": rows / seconds if seconds else float("inf")}
+
+
+def profile(texts: DataFrame, work: Column) -> dict[str, float]:
+    """Rows, mean and deviation of the length of ``texts(text)``, and the seconds and rows a second that computing ``work`` over them all takes."""
+    about = texts.agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("mean"), F.stddev_samp(F.length("text")).alias("std")).first()
+    began = time.perf_counter()
+    texts.select(work.alias("x")).write.format("noop").mode("overwrite").save()
+    return throughput(about["n"], time.perf_counter() - began) | {"mean_len": about["mean"], "std_len": about["std"]}
+
+
+def profile_kernels(rows: int = 1 << 16, dims: int = 384, bits: int = 8, seed: int = 0) -> dict[str, float]:
+    """Milliseconds that one block of random vectors takes to quantise, and to be multiplied with one query: the kernels of the Arrow engine alone."""
+    from ..functions import quant as Q
+
+    rng = np.random.default_rng(seed)
+    x, q = rng.normal(size=(rows, dims)), rng.normal(size=dims)
+    top = (1 << bits) - 1
+    spec = Q.QuantSpec(f"qint{bits}", 4 / top, top / 2)
+    t0 = time.perf_counter()
+    packed = Q.np_pack(Q.np_codes(x, spec), bits)
+    t1 = time.perf_counter()
+    Q.np_dequantize(packed, spec) @ q
+    return {"quantize_ms": 1000 * (t1 - t0), "matmul_ms": 1000 * (time.perf_counter() - t1)}

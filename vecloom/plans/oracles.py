@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions.text import MIME
-
 SQL: dict[str, str] = {}
 
 _Q = "q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0)"
@@ -26,12 +24,13 @@ SELECT label, round(list_dot_product(qv, v), 6) AS sim FROM f, i ORDER BY round(
 SQL["knn_grouped"] = f"WITH {_Q}, {_I}, {_ranked(_SCORED + ' WHERE grp IN (1, 3, 5)', 10)} {_OUT}"
 SQL["knn_cutoff"] = f"WITH {_Q}, {_I}, {_ranked(_SCORED, 10)} {_OUT} WHERE sim > 0.3"
 SQL["similarity_matrix"] = f"WITH {_Q}, {_I} SELECT qid, label, round(list_dot_product(qv, v), 6) AS sim FROM q, i"
+_CHECK = "list_sum(list_transform(range(1, len(v) + 1), lambda k: v[k] * k))"
 SQL["index_upsert"] = f"""
 WITH {_I}, old AS (SELECT * FROM i WHERE label % 3 <> 0), new AS (SELECT * FROM i WHERE label % 2 = 0),
 fresh AS (SELECT label, grp, v, row_number() OVER (ORDER BY label) - 1 AS k FROM new WHERE label NOT IN (SELECT label FROM old))
-SELECT label, grp, label AS pos, round(v[1], 6) AS x0 FROM old WHERE label NOT IN (SELECT label FROM new)
-UNION ALL SELECT label, grp + 100, label, round(-v[1], 6) FROM new WHERE label IN (SELECT label FROM old)
-UNION ALL SELECT label, grp + 100, k + (SELECT max(label) + 1 FROM old), round(-v[1], 6) FROM fresh
+SELECT label, grp, label AS pos, round({_CHECK}, 5) AS checksum FROM old WHERE label NOT IN (SELECT label FROM new)
+UNION ALL SELECT label, grp + 100, label, round(-({_CHECK}), 5) FROM new WHERE label IN (SELECT label FROM old)
+UNION ALL SELECT label, grp + 100, k + (SELECT max(label) + 1 FROM old), round(-({_CHECK}), 5) FROM fresh
 """
 SQL["index_delete"] = "SELECT vec_id AS label, vec_id AS pos FROM embeddings WHERE vec_id % 7 <> 0"
 SQL["index_delete_predicate"] = "SELECT vec_id AS label, vec_id AS pos FROM embeddings WHERE NOT embedding[1] > 0"
@@ -111,7 +110,7 @@ FROM exact e LEFT JOIN other o ON o.qid = e.qid AND o.label = e.label GROUP BY e
 """
 SQL["spec_from_range"] = """
 WITH x AS (SELECT CAST(min(x) AS DOUBLE) AS lo, CAST(max(x) AS DOUBLE) AS hi FROM (SELECT unnest(embedding) AS x FROM embeddings))
-SELECT round(lo, 6) AS lo, round(hi, 6) AS hi, round((hi - lo) / 255, 9) AS scale, round(-lo / ((hi - lo) / 255), 6) AS zero_point FROM x
+SELECT 'qint8' AS kind, round((hi - lo) / 255, 9) AS scale, round(-lo / ((hi - lo) / 255), 6) AS zero_point FROM x
 """
 _CHUNKS = r"""
 p AS (SELECT doc_id AS doc, list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) >= 100) AS p FROM documents WHERE text IS NOT NULL),
@@ -183,8 +182,10 @@ SELECT label, CAST(y AS INTEGER) AS year, CASE WHEN y <= 2000 THEN round(sum(n *
 SQL["benchmark_report"] = """
 WITH r AS (SELECT l_returnflag, l_linestatus, p_brand AS bench, 100 * avg(CAST(l_discount AS DOUBLE)) AS metric FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3),
 g AS (SELECT l_returnflag, l_linestatus, 'Group1' AS bench, avg(metric) AS metric FROM r WHERE bench IN ('Brand#11', 'Brand#12', 'Brand#13') GROUP BY 1, 2),
-a AS (SELECT * FROM r WHERE bench NOT IN ('Brand#11', 'Brand#12', 'Brand#13') UNION ALL SELECT * FROM g)
-SELECT l_returnflag, l_linestatus, round(avg(metric), 5) AS average, round(max(CASE WHEN bench = 'Group1' THEN metric END), 5) AS group1 FROM a GROUP BY 1, 2
+a AS (SELECT * FROM r WHERE bench NOT IN ('Brand#11', 'Brand#12', 'Brand#13') UNION ALL SELECT * FROM g),
+b AS (SELECT DISTINCT bench FROM a), o AS (SELECT bench, row_number() OVER (ORDER BY bench) AS place FROM b)
+SELECT l_returnflag, l_linestatus, CAST(place AS INTEGER) AS place, bench, round(metric, 5) AS metric FROM a JOIN o USING (bench)
+UNION ALL SELECT l_returnflag, l_linestatus, 0, 'Average', round(avg(metric), 5) FROM a GROUP BY 1, 2
 """
 SQL["length_stats"] = "SELECT lang, count(*) AS n, round(avg(length(text)), 6) AS mean_len, round(stddev_samp(length(text)), 4) AS std_len FROM documents GROUP BY lang"
 SQL["pair_similarity"] = f"WITH {_I} SELECT a.label AS id, round(list_dot_product(a.v, b.v), 6) AS sim FROM i a JOIN i b ON b.label + 1 = a.label"
@@ -207,10 +208,24 @@ SQL["refresh_changed"] = """
 WITH n AS (SELECT user_id AS name, max(ts) AS m FROM events GROUP BY 1), s AS (SELECT user_id AS name, max(ts) AS m FROM events WHERE event_type = 'view' GROUP BY 1)
 SELECT n.name FROM n LEFT JOIN s USING (name) WHERE s.m IS NULL OR n.m > s.m
 """
-_MIMES = ", ".join(f"('{k}', '{v}')" for k, v in MIME.items())
-SQL["file_kinds"] = f"""
-WITH p AS (SELECT page_id, lower(regexp_extract(url, '\\.([^./]+)$', 1)) AS extension FROM pages), m(e, mime) AS (VALUES {_MIMES})
-SELECT page_id, extension, coalesce(mime, 'unknown') AS mime FROM p LEFT JOIN m ON e = extension
+SQL["file_kinds"] = r"""
+WITH p AS (SELECT page_id, lower(regexp_extract(url, '\.([^./]+)$', 1)) AS extension FROM pages)
+SELECT page_id, extension, CASE extension WHEN 'html' THEN 'text/html' WHEN 'htm' THEN 'text/html' WHEN 'txt' THEN 'text/plain' WHEN 'pdf' THEN 'application/pdf' WHEN 'json' THEN 'application/json'
+  WHEN 'js' THEN 'text/javascript' WHEN 'css' THEN 'text/css' WHEN 'xml' THEN 'text/xml' WHEN 'csv' THEN 'text/csv' WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' ELSE 'unknown' END AS mime FROM p
 """
 SQL["size_classes"] = "SELECT CAST(CASE WHEN n_chars <= 1 THEN 1 ELSE pow(2, ceil(log2(n_chars))) END AS BIGINT) AS size_class, count(*) AS n FROM documents GROUP BY 1"
 SQL["stream_upsert"] = "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id"
+
+SQL["gguf_fields"] = """
+WITH r AS (SELECT count(*) AS regions FROM region), n AS (SELECT count(*) AS nations FROM nation), f(key, value) AS (
+  SELECT 'general.name', 'nations' UNION ALL SELECT 'nation.count', CAST(nations AS VARCHAR) FROM n UNION ALL SELECT 'nation.regions', regions || ' x <STRING>' FROM r
+  UNION ALL SELECT 'general.alignment', '32' UNION ALL SELECT 'nation.largest', '18446744073709551615' UNION ALL SELECT 'nation.least', '-9223372036854775808'
+  UNION ALL SELECT 'nation.share', '0.5' UNION ALL SELECT 'nation.known', 'true')
+SELECT rpad(key, 17, ' ') || ' = ' || value AS line FROM f
+"""
+SQL["gguf_tensors"] = """
+WITH n AS (SELECT n_nationkey, n_regionkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS r, count(*) OVER () AS c FROM nation)
+SELECT 'nation.keys' AS name, 'F32' AS type, c || 'x2' AS shape, CAST(2 * r AS INTEGER) AS i, CAST(n_nationkey AS DOUBLE) AS x, CAST(NULL AS VARCHAR) AS whole FROM n
+UNION ALL SELECT 'nation.keys', 'F32', c || 'x2', CAST(2 * r + 1 AS INTEGER), CAST(n_regionkey AS DOUBLE), NULL FROM n
+UNION ALL SELECT 'nation.ids', 'I64', CAST(c AS VARCHAR), CAST(r AS INTEGER), CAST(n_nationkey + 4611686018427387905 AS DOUBLE), CAST(n_nationkey + 4611686018427387905 AS VARCHAR) FROM n
+"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
@@ -94,7 +93,8 @@ def _upsert_parts(spark, d):
 def index_upsert(spark, d):
     old, new = _upsert_parts(spark, d)
     out = I.upsert(old, new)
-    return out.select("label", "grp", "pos", F.round(F.get("vec", F.lit(0)).cast("double"), 6).alias("x0"))
+    whole = F.aggregate(F.transform("vec", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return out.select("label", "grp", "pos", F.round(whole, 5).alias("checksum"))
 
 
 @register
@@ -217,10 +217,8 @@ def quant_recall_at_10(spark, d):
 
 @register
 def spec_from_range(spark, d):
-    e = _index(spark, d)
-    r = e.agg(F.min(F.array_min("vec")).cast("double").alias("lo"), F.max(F.array_max("vec")).cast("double").alias("hi"))
-    s = (F.col("hi") - F.col("lo")) / 255
-    return r.select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), F.round(s, 9).alias("scale"), F.round(-F.col("lo") / s, 6).alias("zero_point"))
+    spec = Q.QuantSpec.from_data("qint8", _index(spark, d), "vec")
+    return spark.createDataFrame([(spec.kind, round(spec.scale, 9), round(spec.zero_point, 6))], "kind string, scale double, zero_point double")
 
 
 def _chunks(spark, d, max_len=None):
@@ -333,11 +331,13 @@ def novelty_scores(spark, d):
 @register
 def benchmark_report(spark, d):
     li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    results = li.groupBy("l_returnflag", "l_linestatus", F.col("p_brand").alias("bench")).agg(F.avg(F.col("l_discount").cast("decimal(12,4)")).cast("double").alias("metric"))
+    results = li.groupBy("l_returnflag", "l_linestatus", F.col("p_brand").alias("bench")).agg(F.avg("l_discount").alias("metric"))
     brands = [r["p_brand"] for r in table(spark, d, "part").select("p_brand").distinct().orderBy("p_brand").collect()]
     out = report.benchmark_report(results, ["l_returnflag", "l_linestatus"], brands, GROUPED, "Group1")
-    keep = ["Average", "Group1"]
-    return out.select("l_returnflag", "l_linestatus", *[F.round(F.col(f"`{c}`"), 5).alias(c.lower()) for c in keep])
+    wide = [c for c in out.columns if c not in ("l_returnflag", "l_linestatus")]
+    place = F.create_map(*[x for i, c in enumerate(wide) for x in (F.lit(c), F.lit(i))])
+    long = out.unpivot(["l_returnflag", "l_linestatus"], wide, "bench", "metric")
+    return long.filter("metric is not null").select("l_returnflag", "l_linestatus", place[F.col("bench")].alias("place"), "bench", F.round("metric", 5).alias("metric"))
 
 
 GROUPED = ["Brand#11", "Brand#12", "Brand#13"]
@@ -444,10 +444,9 @@ def _gguf(spark, d) -> str:
 
     names = [r["r_name"] for r in table(spark, d, "region").orderBy("r_regionkey").collect()]
     keys = np.array([[r["n_nationkey"], r["n_regionkey"]] for r in table(spark, d, "nation").orderBy("n_nationkey").collect()], np.float32)
-    folder = f"{shared_dir(spark)}/vecloom/gguf-{uuid.uuid4().hex[:12]}".removeprefix("file://")
-    os.makedirs(folder, exist_ok=True)
-    path = f"{folder}/nations.gguf"
-    write_gguf(path, [("general.name", 8, "nations"), ("nation.count", 4, len(keys)), ("nation.regions", 9, (8, names)), ("general.alignment", 4, 32)], [("nation.keys", keys)])
+    path = f"{shared_dir(spark)}/vecloom/gguf-{uuid.uuid4().hex[:12]}/nations.gguf"
+    fields = [("general.name", 8, "nations"), ("nation.count", 4, len(keys)), ("nation.regions", 9, (8, names)), ("general.alignment", 4, 32), ("nation.largest", 10, (1 << 64) - 1), ("nation.least", 11, -(1 << 63)), ("nation.share", 6, 0.5), ("nation.known", 7, True)]
+    write_gguf(path, fields, [("nation.keys", keys), ("nation.ids", keys[:, 0].astype(np.int64) + ((1 << 62) + 1))])
     return path
 
 
@@ -463,7 +462,8 @@ def gguf_tensors(spark, d):
     from ..sources.gguf import read_gguf
 
     t = read_gguf(spark, _gguf(spark, d), "tensors")
-    return t.select("name", "type", F.array_join(F.col("shape").cast("array<string>"), "x").alias("shape"), F.posexplode("data").alias("i", "x"))
+    t = t.select("name", "type", F.array_join(F.col("shape").cast("array<string>"), "x").alias("shape"), "whole", F.posexplode("data").alias("i", "x"))
+    return t.select("name", "type", "shape", "i", "x", F.get("whole", "i").cast("string").alias("whole"))
 
 
 @register
@@ -474,15 +474,18 @@ def stream_upsert(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "event_type")
     e.repartition(3).write.parquet(f"{base}/in")
     stream = upserts.read_stream(spark, f"{base}/in", e.schema)
-    upserts.upsert_stream(stream, f"{base}/state", "user_id", "event_id", f"{base}/checkpoint").awaitTermination()
+    upserts.upsert_stream(stream, f"{base}/state", "user_id", "event_id", f"{base}/checkpoint", buckets=4).awaitTermination()
     return upserts.current(spark, f"{base}/state")
 
 
 def queries() -> dict[str, Query]:
+    from . import stored  # noqa: F401, registers its own
+
     return dict(_ALL)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import oracles_stored, stored  # noqa: F401
     from .oracles import SQL
 
     return {k: v for k, v in SQL.items() if k in _ALL}

@@ -12,22 +12,29 @@ from pyspark.sql.types import StringType
 from ..functions.text import extension, mime_type, relative_path
 
 
+def first_rows(df: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` rows of files in their own order, by path, then by place in the file; all for None."""
+    if n is None:
+        return df
+    placed = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    return placed.orderBy("_path", "_block", "_row").limit(n).drop("_path", "_block", "_row")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, max_rows: int | None = None) -> DataFrame:
     """One object a line, by the schema given; a malformed line fails."""
-    df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return df if max_rows is None else df.limit(max_rows)
+    return first_rows(spark.read.schema(schema).option("mode", "FAILFAST").json(path), max_rows)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, columns: list[str] | None = None, max_rows: int | None = None) -> DataFrame:
-    """With a header row; types are inferred unless a schema is given. Columns not asked for are not parsed."""
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, columns: list[str] | None = None, max_rows: int | None = None, infer: bool = False) -> DataFrame:
+    """With a header row; all columns are text unless a schema is given or types are to be inferred, which costs a pass over the files. Columns not asked for are not parsed."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
-    df = df.select(columns) if columns else df
-    return df if max_rows is None else df.limit(max_rows)
+    df = first_rows(reader.schema(schema).csv(path) if schema else reader.option("inferSchema", infer).csv(path), max_rows)
+    return df.select(columns) if columns else df
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).mode("overwrite").csv(path)
+    """With a header row; quotes are doubled and white space is kept, as :func:`read_csv` reads them."""
+    df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).mode("overwrite").csv(path)
 
 
 def read_lines(spark: SparkSession, path: str, field: str = "text") -> DataFrame:
@@ -48,8 +55,8 @@ def _binary(spark: SparkSession, root: str, pattern: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(name, mtime) of the files below a folder; contents are not read."""
-    return _binary(spark, root, pattern).select(relative_path("path", root).alias("name"), F.col("modificationTime").alias("mtime"))
+    """(name, mtime) of the files below a folder, by name; contents are not read."""
+    return _binary(spark, root, pattern).select(relative_path("path", root).alias("name"), F.col("modificationTime").alias("mtime")).orderBy("name")
 
 
 @F.pandas_udf(StringType())
