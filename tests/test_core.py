@@ -161,7 +161,7 @@ def test_splitter(spark):
         assert one(spark.createDataFrame([(t,)], "t string").select(X.split_text("t", "\n", least, most))) == want
     assert one(spark.createDataFrame([(" whole ",)], "t string").select(X.split_text("t", None))) == [" whole "]
     names = spark.createDataFrame([("org/some-model-256-qint8",)], "t string").select(*X.run_name("t")).first()
-    assert list(names) == ["some-model", "256", "qint8"]
+    assert list(names) == ["org", "some-model", "256", "qint8"]
     assert [r[0] for r in spark.createDataFrame([("##ing",), ("run",)], "t string").select(X.strip_prefix("t")).collect()] == ["ing", "run"]
 
 
@@ -335,7 +335,7 @@ def test_reports(spark):
     r = report.benchmark_report(spark.createDataFrame(rows, "model string, bench string, metric double"), ["model"], ["A", "g1", "g2"], ["g1", "g2"], "G").first()
     assert r.asDict() == {"model": "m", "Average": pytest.approx(40.0), "A": 50.0, "G": pytest.approx(30.0)}
     e = report.edit_operations(spark.createDataFrame([(1, ["a", "b"], ["a", "c", "d"]), (2, ["x"], ["x"])], "id int, a array<string>, b array<string>")).collect()
-    assert [tuple(x) for x in e] == [(1, "replace", 1, 2, 1, 3)]
+    assert [tuple(x) for x in e] == [(1, "insert", 1, 1), (1, "replace", 1, 2)]
 
 
 def test_registry(spark):
@@ -343,3 +343,204 @@ def test_registry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def apply_script(a, b, ops):
+    out, at = [], 0
+    for op, i, j in ops:
+        out += a[at:i]
+        at = i
+        if op != "delete":
+            out.append(b[j])
+        if op != "insert":
+            at += 1
+    return out + a[at:]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=9), st.lists(st.integers(0, 3), max_size=9))
+def test_edit_scripts_are_shortest(a, b):
+    cost = {(0, j): j for j in range(len(b) + 1)} | {(i, 0): i for i in range(len(a) + 1)}
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            cost[i + 1, j + 1] = min(cost[i, j] + (x != y), cost[i, j + 1] + 1, cost[i + 1, j] + 1)
+    ops = report.edit_script(a, b)
+    assert len(ops) == cost[len(a), len(b)] and apply_script(a, b, ops) == b
+
+
+@pytest.mark.parametrize(("index_bytes", "kept_bytes"), [(1 << 30, 1 << 30), (600, 1 << 30), (600, 0)])
+def test_running_top_k(tmp_path, monkeypatch, index_bytes, kept_bytes):
+    """In one chunk, in many chunks, and without room to keep results, a task gives all that the merged top k needs; ties go to position."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(knn, "INDEX_BYTES", index_bytes)
+    monkeypatch.setattr(knn, "KEPT_BYTES", kept_bytes)
+    monkeypatch.setattr(knn, "QUERY_ROWS", 4)
+    rng = np.random.default_rng(3)
+    q, x = rng.integers(-2, 3, (9, 3)).astype(float), rng.integers(-2, 3, (60, 3)).astype(float)
+    pq.write_table(pa.table({"qid": range(9), "vec": q.tolist(), "day": [10 * i for i in range(9)]}), tmp_path / "q.parquet", row_group_size=3)
+    t = pa.table({"label": [f"l{i}" for i in range(60)], "pos": list(range(60)), "vec": x.tolist(), "day": [(i * 7) % 90 for i in range(60)]})
+    sims = q @ x.T
+    for sides, window in (({0: None}, None), ({0: lambda a, b: (b["day"][None, :] - a["day"][:, None] <= 0) & (b["day"][None, :] - a["day"][:, None] > -25), 1: lambda a, b: b["day"][None, :] > a["day"][:, None] + 60}, 91)):
+        run = knn._partial(f"file://{tmp_path}", 5, Q.FLOAT, sides, ["day"], 9, window)
+        found = [r for b in run(iter(t.to_batches(max_chunksize=7))) for r in b.to_pylist()]
+        for k in range(9):
+            for side, marks in sides.items():
+                ok = np.ones(60, bool) if marks is None else marks({"day": np.array([10 * k])}, {"day": np.array(t.column("day"))})[0]
+                want = sorted((-sims[k, i], i) for i in range(60) if ok[i])[:5]
+                got = sorted((-r["sim"], r["pos"]) for r in found if r["qid"] == k and r["side"] == side)[:5]
+                assert got == want
+        if kept_bytes and index_bytes > 1 << 20:
+            assert len(found) <= 9 * 5 * len(sides)
+
+
+def test_windowed_topk_matches_brute_force(spark):
+    rng = np.random.default_rng(5)
+    day0 = dt.date(2000, 1, 1)
+    rows = [(i, None if i % 9 == 0 else day0 + dt.timedelta(days=int(rng.integers(0, 1500))), rng.normal(size=4).tolist()) for i in range(70)]
+    df = spark.createDataFrame(rows, "label int, date date, vec array<double>").repartition(5)
+    got = {r.label: r for r in analytics.windowed_topk(df, df, years=1, ks=(1, 3), exclude_self=True).collect()}
+    number = lambda d: 0 if d is None else (d - dt.date(1970, 1, 1)).days
+    for i, d, v in rows:
+        for side in ("pre", "pos"):
+            gaps = [(float(np.dot(v, w)), number(e) - number(d)) for j, e, w in rows if j != i]
+            sims = sorted((s for s, g in gaps if (-365 < g <= 0 if side == "pre" else 0 < g <= 365)), reverse=True)
+            for k in (1, 3):
+                assert getattr(got[i], f"{side}_{k}") == (pytest.approx(np.mean(sims[:k])) if sims else None)
+
+
+def test_running_sums_of_a_hot_group(spark):
+    rows = [(None if i % 11 == 0 else "hot" if i % 3 else "cold", i, i % 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, id int, n int")
+    got = {r.id: (r.start, r.end) for r in A.bounds(df, "n", ["id"], ["g"]).collect()}
+    at = {}
+    for g, i, n in rows:
+        assert got[i] == (at.get(g, 0), at.get(g, 0) + n)
+        at[g] = at.get(g, 0) + n
+    batches = A.batch_ids(df, 16, ["id"], ["g"]).filter("g = 'cold'").orderBy("id").collect()
+    assert [r.batch for r in batches] == [k // 16 for k in range(len(batches))] and batches[-1].batch_end == len(batches)
+
+
+def test_rate_limiter_keeps_its_limits():
+    now, log = [0.0], []
+
+    def sleep(s):
+        now[0] += s
+
+    limiter = embed.RateLimiter({"requests": 3, "tokens": 100}, 10.0, lambda: now[0], sleep)
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        now[0] += float(rng.exponential(1.0))
+        n = int(rng.integers(1, 60))
+        limiter.take(requests=1, tokens=n)
+        log.append((now[0], n))
+        recent = [x for t, x in log if t > now[0] - 10.0 + 1e-9]
+        assert len(recent) <= 3 and sum(recent) <= 100
+    assert embed.RateLimiter({"tokens": 5}, 10.0, lambda: 0.0, sleep).wait_for(0.0, tokens=50) == 0
+
+
+def test_http_embedder_cuts_and_counts_tokens(spark, monkeypatch):
+    import io
+    import json
+    import urllib.request
+
+    import public_tokenizers
+
+    sent = []
+
+    def urlopen(request, timeout):
+        texts = json.loads(request.data)["input"]
+        sent.append(texts)
+        return io.BytesIO(json.dumps({"data": [{"index": i, "embedding": [float(len(t)), 0.0]} for i, t in reversed(list(enumerate(texts)))]}).encode())
+
+    monkeypatch.setattr(urllib.request, "urlopen", urlopen)
+    e = embed.http_embedder("http://localhost/v1", "m", 2, tokenizer=public_tokenizers.path("word_bpe_49k.json"), max_len=3, limits={"requests": 10, "tokens": 100})
+    out = e.load()(["one two three four five", "six"])
+    assert sent == [["one two three", "six"]] and out.tolist() == [[13.0, 0.0], [3.0, 0.0]]
+
+
+def test_token_windows_and_user_splitter(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = "  one two  three four five six seven \n"
+    df = spark.createDataFrame([(1, t), (2, ""), (3, None)], "doc int, text string")
+    whole = {r.doc: r.p for r in df.select("doc", embed.token_windows("text", path, 3).alias("p")).collect()}
+    assert "".join(whole[1]) == t and len(whole[1]) == 3 and whole[2] == [""] and whole[3] == [""]
+    lapped = one(df.filter("doc = 1").select(embed.token_windows("text", path, 3, 1)))
+    assert len(lapped) == 3 and lapped[1].startswith("three") and lapped[2].startswith("five")
+    assert [r.text for r in db.chunk(df.filter("doc = 1"), lambda c: F.split(F.trim(c), "  ")).orderBy("chunk_no").collect()] == ["one two", "three four five six seven \n".rstrip(" ")]
+
+
+def test_pooling_configuration_and_padding(tmp_path):
+    import json
+
+    assert embed.pooling_type(str(tmp_path)) is None
+    (tmp_path / "1_Pooling").mkdir()
+    (tmp_path / "modules.json").write_text(json.dumps([{"path": "", "type": "x.Transformer"}, {"path": "1_Pooling", "type": "x.Pooling"}]))
+    for flag, want in (("mean_tokens", "mean"), ("cls_token", "cls"), ("lasttoken", "last"), ("max_tokens", "max")):
+        (tmp_path / "1_Pooling/config.json").write_text(json.dumps({f"pooling_mode_{flag}": True}))
+        assert embed.pooling_type(str(tmp_path)) == want
+    (tmp_path / "1_Pooling/config.json").write_text(json.dumps({"pooling_mode_mean_sqrt_len_tokens": True}))
+    with pytest.raises(ValueError, match="not supported"):
+        embed.pooling_type(str(tmp_path))
+    states = embed.np_pool(np.ones((1, 3, 2)), np.array([[1, 1, 0]]), "none")
+    assert np.isnan(states[0, 2]).all() and (states[0, :2] == 1).all()
+
+
+def test_gguf_keeps_whole_numbers(spark, tmp_path):
+    from vecloom.sources.gguf import read_gguf, write_gguf
+
+    path = f"file://{tmp_path}/models/a.gguf"
+    ids = np.array([(1 << 62) + 1, -(1 << 62) - 1], np.int64)
+    write_gguf(path, [("a", 11, (1 << 63) - 1), ("b", 10, (1 << 64) - 1), ("c", 9, (11, [-(1 << 63), 5]))], [("t", ids)])
+    fields = {r.key: r for r in read_gguf(spark, f"file://{tmp_path}/models").collect()}
+    assert int(fields["a"].whole) == (1 << 63) - 1 and int(fields["b"].whole) == (1 << 64) - 1 and [int(x) for x in fields["c"].wholes] == [-(1 << 63), 5]
+    assert read_gguf(spark, path, "tensors").first().whole == ids.tolist()
+    assert read_gguf(spark, f"{tmp_path}/models/*.gguf").count() == 3 and read_gguf(spark, str(tmp_path)).count() == 0
+
+
+def test_stream_state_in_buckets(spark, tmp_path):
+    """Later batches rewrite only the buckets that they touch, and replaced parts go; running a batch again changes nothing."""
+    from vecloom.streaming import upserts
+
+    schema = "k int, n int, v string"
+    for i, rows in enumerate([[(k, 0, "a") for k in range(40)], [(3, 1, "b"), (50, 1, "b")], [(3, 0, "old"), (4, 2, "c")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        stream = upserts.read_stream(spark, f"{tmp_path}/in/*", schema)
+        upserts.upsert_stream(stream, f"{tmp_path}/state", "k", "n", f"{tmp_path}/checkpoint", buckets=8).awaitTermination()
+    state = {r.k: (r.n, r.v) for r in upserts.current(spark, f"{tmp_path}/state").select("k", "n", "v").collect()}
+    assert state == {k: (0, "a") for k in range(40)} | {3: (1, "b"), 50: (1, "b"), 4: (2, "c")}
+    parts = upserts._parts(spark, f"{tmp_path}/state")
+    assert max(len(v) for v in parts.values()) <= 3 and upserts.latest_version(spark, f"{tmp_path}/state") == 2
+
+
+def test_pdf_pages(spark, tmp_path, monkeypatch):
+    """PDFs go through the optional package: here a stand-in for it on the workers' path."""
+    from vecloom.sources import files
+
+    (tmp_path / "pypdf.py").write_text("class _P:\n    def __init__(self, t): self.t = t\n    def extract_text(self): return self.t\nclass PdfReader:\n    def __init__(self, f): self.pages = [_P(x) for x in f.read().decode().split('|')]\n")
+    spark.sparkContext.addPyFile(str(tmp_path / "pypdf.py"))
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/a.pdf").write_bytes(b"one|two")
+    (tmp_path / "d/b.txt").write_bytes(b"plain \xff")
+    (tmp_path / "d/c.png").write_bytes(b"x")
+    assert {r.name: r.text for r in files.read_documents(spark, f"{tmp_path}/d").collect()} == {"a.pdf": "one\n\ntwo", "b.txt": "plain ", "c.png": None}
+
+
+def test_first_rows_of_files(spark, tmp_path):
+    from vecloom.sources import files
+
+    for i in range(3):
+        (tmp_path / f"{i}.jsonl").write_text("".join(f'{{"title": "{i}-{k}", "text": "t"}}\n' for k in range(4)))
+    got = files.read_jsonl(spark, f"{tmp_path}/*.jsonl", "title string", 6)
+    assert [r.title for r in got.collect()] == [f"0-{k}" for k in range(4)] + ["1-0", "1-1"]
+
+
+def test_similarity_matrix_is_for_bounded_queries(spark, monkeypatch):
+    monkeypatch.setattr(knn, "VECTOR_BYTES", 200)
+    index = index_of(spark, np.eye(3).tolist())
+    with pytest.raises(ValueError, match="at most"):
+        knn.similarity(index.select(F.col("label").alias("qid"), "vec"), index)
+    assert knn.topk(index.select(F.col("label").alias("qid"), "vec"), index, 1).count() == 3
