@@ -66,27 +66,30 @@ def size_histogram(df: DataFrame, size: str, ident: str) -> DataFrame:
     return df.groupBy(size).agg(F.sort_array(F.collect_list(ident)).alias("ids"), F.count("*").alias("n"))
 
 
-def running(df: DataFrame, values: dict[str, Column], order: list[str], within: list[str]) -> DataFrame:
-    """``df`` with the sum of each of ``values`` over its group's rows up to and with this one, and the group's whole sum as ``<name>_total``.
+def running(df: DataFrame, values: dict[str, Column], order: list[str], within: list[str], how: str = "sum") -> DataFrame:
+    """``df`` with the sum (or ``max``) of each of ``values`` over its group's rows up to and with this one, and over the whole group as ``<name>_total``.
 
     Rows are range-partitioned by group and order, so a hot group lies in many tasks; each task sums its own rows, and the tasks' sums, a row
     for each group in each task, give what was before.
     """
     from ..plans.shared import small, written
 
+    gather = {"sum": F.sum, "max": F.max}[how]
+    join = (lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))) if how == "sum" else F.greatest
+
     added = df.select("*", *[c.alias(f"_v_{k}") for k, c in values.items()])
     ranged, _ = written(added.repartitionByRange(*within, *order).sortWithinPartitions(*within, *order).withColumn("_part", F.spark_partition_id()), "ranged")
     here = Window.partitionBy("_part", *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = ranged.groupBy("_part", *within).agg(*[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in values])
+    sums = ranged.groupBy("_part", *within).agg(*[gather(f"_v_{k}").alias(f"_s_{k}") for k in values])
     group = Window.partitionBy(*within)
     before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_w_{c}") for c in within], *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in values], *[F.sum(f"_s_{k}").over(group).alias(f"_t_{k}") for k in values])
-    local = ranged.select("*", *[F.coalesce(F.sum(f"_v_{k}").over(here), F.lit(0)).alias(f"_l_{k}") for k in values])
+    base = sums.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_w_{c}") for c in within], *[gather(f"_s_{k}").over(before).alias(f"_b_{k}") for k in values], *[gather(f"_s_{k}").over(group).alias(f"_t_{k}") for k in values])
+    local = ranged.select("*", *[gather(f"_v_{k}").over(here).alias(f"_l_{k}") for k in values])
     match = F.col("_part") == F.col("_p")
     for c in within:
         match = match & F.col(c).eqNullSafe(F.col(f"_w_{c}"))
     out = local.join(small(base), match)
-    return out.select(*df.columns, *[(F.col(f"_b_{k}") + F.col(f"_l_{k}")).alias(k) for k in values], *[F.col(f"_t_{k}").alias(f"{k}_total") for k in values])
+    return out.select(*df.columns, *[join(F.col(f"_b_{k}"), F.col(f"_l_{k}")).alias(k) for k in values], *[F.col(f"_t_{k}").alias(f"{k}_total") for k in values])
 
 
 def bounds(df: DataFrame, length: str, order: list[str], within: list[str]) -> DataFrame:
