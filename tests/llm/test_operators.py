@@ -507,15 +507,23 @@ def test_disclosing_terms(spark):
     assert {r.doc_id: r.spans for r in pii.find_personal_data(df, one).collect()} == got
 
 
-def test_components_and_hot_groups(spark):
+@pytest.mark.parametrize("local", [0, 200_000])
+def test_components_and_hot_groups(spark, monkeypatch, local):
+    from vecloom.llm import _cluster
+
+    monkeypatch.setattr(_cluster, "LOCAL_EDGES", local)
     edges = [(i, i + 1) for i in range(100, 140)] + [(1, k) for k in range(2, 60)] + [(200, 201), (201, 200)]
     got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 100 for i in range(100, 141)) and all(got[i] == 1 for i in range(1, 60)) and got[201] == 200
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("local", [0, 200_000])
+def test_components_of_a_long_chain(spark, monkeypatch, local):
     """Chains of 1,000 and 999 links whose ids are in random order, and a star: one label each, the smallest id."""
+    from vecloom.llm import _cluster
+
+    monkeypatch.setattr(_cluster, "LOCAL_EDGES", local)
     ids = list(range(5000, 7001))
     random.Random(5).shuffle(ids)
     one, other = ids[:1001], ids[1001:]
@@ -541,6 +549,7 @@ def test_near_duplicates_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(_cluster, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(near_dedup, "GROUP_SHINGLES", 100)  # many homes, so pairs meet in cells of two
     monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 2)
+    monkeypatch.setattr(_cluster, "LOCAL_EDGES", 0)
     pairs = [(i, prose(60, i % 5) + (" x" if i % 2 else "")) for i in range(20)]
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
     assert got == brute_components(pairs)
@@ -728,3 +737,17 @@ def test_pipeline_on_odd_rows(spark, odd, empty, tmp_path):
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} <= {d for d, *_ in ODD}
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(-9, 9), st.integers(-9, 9)), max_size=20))
+def test_local_components(pairs):
+    from vecloom.llm._cluster import _local_components
+
+    both = [(a, b) for a, b in pairs if a != b] + [(b, a) for a, b in pairs if a != b]
+    ids, comps = _local_components(pa.table({"a": pa.array([a for a, _ in both], pa.int64()), "b": pa.array([b for _, b in both], pa.int64())}))
+    up = {a: a for a, _ in both}
+    for _ in up:
+        for a, b in both:
+            up[a] = up[b] = min(up[a], up[b])
+    assert dict(zip(ids.tolist(), comps.tolist())) == up

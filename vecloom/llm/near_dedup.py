@@ -149,8 +149,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, homes: DataFrame, percent: int) -
     # a list has the partners in one cell, so it is as long as a group at most
     asks = materialize(asks.groupBy("id", "cell").agg(F.collect_set("p").alias("partners")), "asks")
     sent = docs.join(maybe_broadcast(asks.withColumnRenamed("id", "doc_id"), seen(asks)), "doc_id")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = sent.select("cell", F.col("doc_id").alias("id"), "partners", "text").repartition(parts, "cell").sortWithinPartitions("cell")
+    sent = sent.select("cell", F.col("doc_id").alias("id"), "partners", "text").repartition("cell").sortWithinPartitions("cell")
     out = materialize(sent.mapInArrow(_compare(percent), "a long, b long").distinct(), "links")
     discard(asks)
     return out
