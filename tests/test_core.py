@@ -544,3 +544,22 @@ def test_similarity_matrix_is_for_bounded_queries(spark, monkeypatch):
     with pytest.raises(ValueError, match="at most"):
         knn.similarity(index.select(F.col("label").alias("qid"), "vec"), index)
     assert knn.topk(index.select(F.col("label").alias("qid"), "vec"), index, 1).count() == 3
+
+
+def test_changed_stream(spark, tmp_path):
+    """A name's row comes when it is new or newer than in all batches before, within a run and after a restart."""
+    from vecloom.streaming import upserts
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+        seen = []
+        for i, rows in enumerate([[("a", at(1)), ("b", at(5)), ("a", at(3))], [("a", at(2)), ("b", at(6)), ("c", at(1))]]):
+            spark.createDataFrame(rows, "name string, mtime timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+            changed = upserts.changed_stream(upserts.read_stream(spark, f"{tmp_path}/in/*", "name string, mtime timestamp"))
+            q = changed.writeStream.foreachBatch(lambda b, _: seen.append(sorted((r.name, r.mtime.second) for r in b.collect()))).outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+            q.awaitTermination()
+        assert [x for x in seen if x] == [[("a", 3), ("b", 5)], [("b", 6), ("c", 1)]]
+    finally:
+        spark.conf.unset(key)

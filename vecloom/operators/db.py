@@ -34,6 +34,10 @@ def _queries(spark: SparkSession, embedder: Embedder, query) -> DataFrame:
     return spark.createDataFrame(list(enumerate(query)), "qid int, text string").select("qid", embedder.column("text").alias("vec"))
 
 
+def _engine(query) -> str:
+    return "arrow" if isinstance(query, DataFrame) else "sql"
+
+
 @dataclass(frozen=True)
 class TextDB:
     """Rows (label, grp, pos, text, vec)."""
@@ -101,9 +105,9 @@ class TextDB:
     def similarity(self, query, groups: list | None = None) -> DataFrame:
         return knn.similarity(_queries(self.rows.sparkSession, self.embedder, query), self.rows, groups, self.spec)
 
-    def search(self, query, groups: list | None = None, top_k: int = 10, cutoff: float | None = None, engine: str = "sql") -> DataFrame:
-        """(qid, rank, label, sim), best first; similarities must be strictly above ``cutoff``."""
-        return knn.topk(_queries(self.rows.sparkSession, self.embedder, query), self.rows, top_k, groups, cutoff, engine, self.spec)
+    def search(self, query, groups: list | None = None, top_k: int = 10, cutoff: float | None = None, engine: str | None = None) -> DataFrame:
+        """(qid, rank, label, sim), best first; similarities must be strictly above ``cutoff``. A table of queries takes the Arrow engine unless told otherwise."""
+        return knn.topk(_queries(self.rows.sparkSession, self.embedder, query), self.rows, top_k, groups, cutoff, engine or _engine(query), self.spec)
 
     def context(self, query, **options) -> DataFrame:
         """(qid, context): ``label: text`` of the matches, best first, with a blank line between."""
@@ -238,13 +242,13 @@ class DocumentDB:
         return self.chunks.select(F.struct("doc", "chunk_no").alias("label"), F.col("doc").alias("grp"), F.xxhash64("doc", "chunk_no").alias("pos"), "vec")
 
     def search_docs(self, query, top_k: int = 25) -> DataFrame:
-        return knn.topk(_queries(self.docs.sparkSession, self.embedder, query), self._doc_index(), top_k, engine="sql")
+        return knn.topk(_queries(self.docs.sparkSession, self.embedder, query), self._doc_index(), top_k, engine=_engine(query))
 
     def search_chunks(self, query, top_d: int | None = None, top_k: int = 10, cutoff: float | None = None) -> DataFrame:
         """(qid, rank, label, sim) of chunks; with ``top_d`` only those of the best documents are compared."""
         q = _queries(self.docs.sparkSession, self.embedder, query)
         if top_d is None:
-            return knn.topk(q, self._chunk_index(), top_k, None, cutoff, "sql", self.spec)
+            return knn.topk(q, self._chunk_index(), top_k, None, cutoff, _engine(query), self.spec)
         return two_stage(q, self._doc_index(), self._chunk_index(), top_d, top_k, cutoff, self.spec)
 
     def context(self, query, **options) -> DataFrame:
