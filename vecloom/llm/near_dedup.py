@@ -216,18 +216,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, rows: int = ROWS, halves
     # buckets whose members are still in several components: compare across these, a hot bucket in blocks of its members
     where = bucket.join(maybe_broadcast(comps.withColumnRenamed("id", "rep"), seen(comps)), "rep", "left").select("table_key", "rep", "members", F.coalesce("comp", "rep").alias("comp"))
     split = where.groupBy("table_key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("table_key")
-    blocks = F.ceil(F.col("members") / BUCKET_BLOCK)
-    mixed = materialize(where.join(maybe_broadcast(split), "table_key", "left_semi").select("table_key", "rep", "comp", blocks.alias("blocks")), "mixed")
-    one = mixed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("x")
-    other = mixed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("y")
-    across = one.join(other, F.expr("x.table_key = y.table_key and x.block = y.block and x.comp < y.comp")).select(F.expr("least(x.rep, y.rep) a"), F.expr("greatest(x.rep, y.rep) b")).distinct()
-    rest = materialize(sized(across).join(star, ["a", "b"], "left_anti"), "across")
-    if seen(rest):
-        more = _verify(rest, docs, found, percent)
-        discard(comps)
-        comps = components(links.unionByName(more))
-        discard(more)
-    discard(met, star, links, mixed, rest, bucket, homes)
+    split = materialize(split, "split")
+    if seen(split):
+        blocks = F.ceil(F.col("members") / BUCKET_BLOCK)
+        mixed = materialize(where.join(maybe_broadcast(split), "table_key", "left_semi").select("table_key", "rep", "comp", blocks.alias("blocks")), "mixed")
+        one = mixed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("x")
+        other = mixed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("y")
+        across = one.join(other, F.expr("x.table_key = y.table_key and x.block = y.block and x.comp < y.comp")).select(F.expr("least(x.rep, y.rep) a"), F.expr("greatest(x.rep, y.rep) b")).distinct()
+        rest = materialize(sized(across).join(star, ["a", "b"], "left_anti"), "across")
+        if seen(rest):
+            more = _verify(rest, docs, found, percent)
+            discard(comps)
+            comps = components(links.unionByName(more))
+            discard(more)
+        discard(mixed, rest)
+    discard(met, star, links, split, bucket, homes)
 
     final = groups.select("k1", "k2", "n_shingles", "rep", "copies").join(maybe_broadcast(comps.withColumnRenamed("id", "rep"), seen(comps)), "rep", "left").select("k1", "k2", "n_shingles", "copies", F.coalesce("comp", "rep").alias("comp"))
     n_docs = seen(signed)
