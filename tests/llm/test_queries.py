@@ -76,6 +76,8 @@ def test_held_out_accuracy(spark):
     assert {r.doc_id for r in toxic} == ids and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in toxic)
     held = [(r.predicted, labels[r.doc_id][1]) for r in toxic if r.held_out and r.doc_id in labels]
     assert np.mean([p == y for p, y in held]) >= 0.94 and sum(p > y for p, y in held) <= 1
+    caught = sum(p and y for p, y in held)
+    assert caught >= 0.75 * sum(y for _, y in held) and caught >= 0.95 * sum(p for p, _ in held)  # recall and precision
     quality = Q.op7_quality_attention(spark, LABELLED).collect()
     held = [(r.predicted, labels[r.doc_id][0]) for r in quality if r.held_out and r.doc_id in labels]
     assert {r.doc_id for r in quality} == ids and np.mean([p == y for p, y in held]) >= 0.95
