@@ -105,7 +105,7 @@ for _g in (0, 1, 2):
   SELECT x.qid, coalesce(sum(1 / log2(y.rank + 1)), 0) / sum(1 / log2(x.rank + 1)) AS ndcg FROM x LEFT JOIN y ON y.qid = x.qid AND y.label = x.label AND y.rank <= 10 WHERE x.rank <= 10 GROUP BY x.qid)""")
 SQL["retrieval_evaluation"] = f"WITH {_Q}, {_I}, z0 AS (SELECT label, grp, {_codes(4)} AS c FROM i), z AS (SELECT label, grp, {_values(4, 'c')} AS v FROM z0) {' UNION ALL '.join(_EVAL)}"
 SQL["approximate_recall"] = "SELECT * FROM (VALUES ('lsh', true), ('ivf', true)) t(method, enough)"
-SQL["embedder_parity"] = r"SELECT doc_id AS id, CASE WHEN regexp_matches(substring(text, 1, 200), '\p{L}') THEN 1.0 ELSE 0.0 END AS sim FROM documents"
+SQL["embedder_parity"] = r"SELECT doc_id AS id, CASE WHEN regexp_matches(substring(text, 1, 200), '\p{L}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS sim FROM documents"
 SQL["embedding_profile"] = "SELECT count(*) AS rows, round(avg(length(text)), 6) AS mean_len, round(stddev_samp(length(text)), 4) AS std_len, true AS timed FROM documents"
 SQL["kernel_profile"] = "SELECT * FROM (VALUES (8, true), (4, true), (2, true), (1, true)) t(bits, timed)"
 SQL["token_windows"] = "SELECT doc_id, md5(text) AS md5 FROM documents"
