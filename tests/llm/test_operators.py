@@ -199,6 +199,9 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert out[300].removed_words == 0
     several = quality_rules.Rules(lines_a_pass=1)
     assert rows(quality_rules.apply_rules(df, rules=several).drop("clean_text")) == rows(quality_rules.apply_rules(df).drop("clean_text"))
+    joined = quality_rules.Rules(lines_a_pass=1, passes=0)
+    assert rows(quality_rules.apply_rules(df, rules=joined)) == rows(quality_rules.apply_rules(df))
+    assert rows(quality_rules.apply_rules(df, rules=joined, with_text=False)) == rows(quality_rules.apply_rules(df, with_text=False))
     stage = quality_rules.filter_by_rules(df)
     assert stage.columns == df.columns and stage.count() == 91
     assert all(r.n_chars == len(r.text) for r in stage.filter("doc_id < 40").collect())
@@ -664,6 +667,8 @@ def test_disclosing_terms_match_brute_force(spark):
     want = brute_disclosing([t or "" for t in ts], rules)
     assert want
     df = spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")
+    joined = pii.Rules(min_texts=3, min_bits=2.0, min_share=0.7, reach=3, terms_a_pass=1, passes=0)
+    assert rows(pii.find_personal_data(df, joined)) == rows(pii.find_personal_data(df, rules))
     for x in pii.find_personal_data(df, rules).collect():
         t = ts[x.doc_id] or ""
         covered = [s for kind in pii.base_spans(t) for s in kind]

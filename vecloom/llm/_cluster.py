@@ -141,6 +141,17 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def attach_marks(rows: DataFrame, marks: DataFrame, spread: str) -> DataFrame:
+    """``rows`` with ``_bad``, the list of the marks (name, mark) of their ``_name``, or null: by join, for marks that are too many to send to all tasks.
+
+    Rows of a hot name, copies of one text, are spread by ``spread``. Names may collide: a row then also gets marks of another text, which it doesn't hold.
+    """
+    copies = rows.groupBy("_name").agg(F.count("*").alias("_copies"))
+    bad = marks.groupBy(F.col("name").alias("_name")).agg(F.collect_set("mark").alias("_bad")).join(copies, "_name")
+    bad = materialize(bad, "marks", members=F.sum("_copies"))
+    return join_groups(rows, bad, ["_name"], "_copies", seen(bad, "members"), spread, "left").drop("_copies")
+
+
 #: Edges, both ways, up to which components are made on the driver: 3 MB at most. The result is the same either way.
 LOCAL_EDGES = 200_000
 

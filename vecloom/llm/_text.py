@@ -222,3 +222,11 @@ class HashSet:
             hit = self.keys[at] == h[maybe]
             out[maybe[hit]] = at[hit]
         return out
+
+
+def in_lists(keys: np.ndarray, doc: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Whether each key is in its document's list of signed 64-bit hashes; a null list is empty."""
+    size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+    held = np.asarray(lists.flatten(), np.int64).view(U64)
+    of = mix(np.repeat(np.arange(len(size)), size).astype(U64) + U64(7))
+    return np.isin(mix(keys ^ mix(doc.astype(U64) + U64(7))), mix(held ^ of))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._cluster import discard, materialize, maybe_broadcast, ship
+from ._cluster import attach_marks, discard, materialize, maybe_broadcast, seen, ship
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _U = np.uint64
@@ -41,8 +41,9 @@ class Rules:
     min_texts: int = 5
     min_bits: float = 6.0
     min_share: float = 0.8
-    #: Terms handled in one pass over the texts; more take further passes.
+    #: Terms handled in one pass over the texts; more take further passes, up to ``passes``. Beyond that texts and terms are joined.
     terms_a_pass: int = 1_000_000
+    passes: int = 4
 
 
 def _luhn(digits: str) -> bool:
@@ -162,9 +163,23 @@ def _holding(keys: np.ndarray):
     return run
 
 
+def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, name) of all terms of the texts, once a text; by ``_name`` where that is given."""
+    for b in T.blocks(batches):
+        data, offsets = T.buffers(b.column("text"))
+        _, _, doc, h = _terms(data, offsets)
+        key = T.mix(h ^ T.mix(doc.astype(_U) + _U(7)))
+        _, at = np.unique(key, return_index=True)
+        if "_name" in b.schema.names:
+            name = b.column("_name").take(pa.array(doc[at]))
+        else:
+            name = pa.array(T.signed(T.Prefix(data).of(offsets[:-1], offsets[1:]))[doc[at]])
+        yield pa.RecordBatch.from_arrays([pa.array(T.signed(h[at])), name], ["term", "name"])
+
+
 def _chunks(terms: DataFrame, rules: Rules) -> Iterator[np.ndarray]:
     """The terms in parts of about ``terms_a_pass``, each small enough to send to all tasks."""
-    n = terms.count()
+    n = seen(terms)
     rounds = -(-n // rules.terms_a_pass)
     for k in range(rounds):
         part = terms if rounds == 1 else terms.filter(F.pmod(F.xxhash64("term"), F.lit(rounds)) == k)
@@ -180,9 +195,12 @@ def disclosing_terms(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     entities = often.filter("term = 0").select("entity", F.col("n_te").alias("n_e"))
     candidates = materialize(often.filter("term <> 0").select("term").distinct(), "candidates")
     held = None
-    for keys in _chunks(candidates, rules):
-        part = texts.mapInArrow(_holding(keys), "term long, name long")
-        held = part if held is None else held.unionByName(part)
+    if seen(candidates) > rules.terms_a_pass * rules.passes:
+        held = texts.mapInArrow(_terms_of, "term long, name long")
+    else:
+        for keys in _chunks(candidates, rules):
+            part = texts.mapInArrow(_holding(keys), "term long, name long")
+            held = part if held is None else held.unionByName(part)
     if held is None:
         discard(near, often, candidates)
         return docs.sparkSession.createDataFrame([], "term long, bits double, share double")
@@ -201,11 +219,11 @@ def _format(spans: list[list[tuple[int, int]]]) -> str:
     return ",".join(f"{k}:{a}:{z}" for k, found in zip(KINDS, spans) for a, z in found)
 
 
-def _term_spans(column: pa.Array, known: T.HashSet) -> dict[int, list[tuple[int, int]]]:
-    """Code point spans of the known terms, by row."""
+def _term_spans(column: pa.Array, known: T.HashSet, lists: pa.Array | None = None) -> dict[int, list[tuple[int, int]]]:
+    """Code point spans of the known terms, or of those in the rows' own lists, by row."""
     data, offsets = T.buffers(column)
     start, end, doc, h = _terms(data, offsets)
-    at = np.flatnonzero(known.find(h) >= 0)
+    at = np.flatnonzero(known.find(h) >= 0 if lists is None else T.in_lists(h, doc, lists))
     out: dict[int, list[tuple[int, int]]] = {}
     if len(at):
         cp = _code_points(data)
@@ -233,7 +251,8 @@ def _find(keys: np.ndarray, replace: dict[str, str] | None):
         known = T.HashSet(keys)
         for b in T.blocks(batches):
             texts = b.column("text").to_pylist()
-            terms = _term_spans(b.column("text"), known) if len(known) else {}
+            lists = b.column("_bad") if "_bad" in b.schema.names else None
+            terms = _term_spans(b.column("text"), known, lists) if len(known) or lists is not None else {}
             marked = b.column("_marked").to_pylist() if "_marked" in b.schema.names else None
             rows = []
             for i, t in enumerate(texts):
@@ -279,7 +298,14 @@ def find_personal_data(docs: DataFrame, rules: Rules = Rules(), replace: dict[st
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     last = np.zeros(0, np.uint64)
-    for k, keys in enumerate(_chunks(disclosing_terms(docs, rules), rules)):
+    found = disclosing_terms(docs, rules)
+    many = seen(found) > rules.terms_a_pass * rules.passes
+    if many:
+        docs = docs.withColumn("_name", F.xxhash64("text"))
+        pairs = docs.select("text", "_name").mapInArrow(_terms_of, "term long, name long").distinct()
+        marks = pairs.join(maybe_broadcast(found), "term", "left_semi").select("name", F.col("term").alias("mark"))
+        docs = attach_marks(docs, marks, "doc_id").drop("_name")
+    for k, keys in enumerate([] if many else _chunks(found, rules)):
         if k == 1:
             docs = docs.withColumn("_marked", F.lit(None).cast("array<long>"))
         if k:

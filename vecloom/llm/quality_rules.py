@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._cluster import materialize, seen, ship
+from ._cluster import attach_marks, join_groups, materialize, seen, ship
 
 _U = np.uint64
 _SYMBOL = np.zeros(256, bool)
@@ -35,8 +35,9 @@ class Rules:
     min_left: int = 30
     min_words: int = 50
     max_repeat_percent: int = 50
-    #: Frequent lines handled in one pass over the texts; more take further passes.
+    #: Frequent lines handled in one pass over the texts; more take further passes, up to ``passes``. Beyond that texts and lines are joined.
     lines_a_pass: int = 1_000_000
+    passes: int = 4
 
 
 _HOST = "_host"
@@ -80,11 +81,29 @@ def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_lines(docs: DataFrame, host: str, rules: Rules) -> DataFrame:
-    """(line): keys of host and line that are above the limit."""
+    """(line, docs): keys of host and line that are above the limit, with their numbers of distinct documents."""
     pairs = docs.select("text", F.col(host).cast("string").alias(_HOST)).mapInArrow(_count_lines, "line long, name long")
     # the first grouping takes a line's rows by document too, so a line that all documents share is spread over all tasks
     counts = pairs.groupBy("line", "name").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("docs"))
-    return materialize(counts.filter(f"docs >= {rules.min_docs}").select("line"), "frequent")
+    return materialize(counts.filter(f"docs >= {rules.min_docs}"), "frequent")
+
+
+def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, line) of the lines of the texts, by their ``_name``."""
+    for b in T.blocks(batches):
+        data, offsets = T.buffers(b.column("text"))
+        *_, lf, n, h = _line_keys(data, offsets)
+        doc = np.repeat(np.arange(len(lf) - 1), np.diff(lf))[n > 0]
+        where = T.mix(_host_hash(b.column(_HOST))[doc] * _U(3) + h[n > 0])
+        yield pa.RecordBatch.from_arrays([b.column("_name").take(pa.array(doc)), pa.array(T.signed(where))], ["name", "line"])
+
+
+def _with_frequent(rows: DataFrame, lines: DataFrame, spread: str) -> DataFrame:
+    """``rows`` with ``_bad``, the keys of their frequent lines."""
+    rows = rows.withColumn("_name", F.xxhash64(_HOST, "text"))
+    pairs = materialize(rows.select("text", _HOST, "_name").mapInArrow(_lines_of, "name long, line long").distinct(), "pairs")
+    marks = join_groups(pairs, lines, ["line"], "docs", seen(pairs), "name").select("name", F.col("line").alias("mark"))
+    return attach_marks(rows, marks, spread).drop("_name")
 
 
 _MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -125,9 +144,13 @@ def _pass(keys: np.ndarray, first_pass: bool, with_text: bool):
             data, offsets = T.buffers(b.column("text"))
             *_, ls, le, lf, n, h = _line_keys(data, offsets)
             doc = np.repeat(np.arange(len(lf) - 1), np.diff(lf))
-            bad = (n > 0) & (known.find(T.mix(_host_hash(b.column(_HOST))[doc] * _U(3) + h)) >= 0) if len(known) else np.zeros(len(n), bool)
+            listed = "_bad" in b.schema.names
+            bad = np.zeros(len(n), bool)
+            if listed or len(known):
+                where = T.mix(_host_hash(b.column(_HOST))[doc] * _U(3) + h)
+                bad = (n > 0) & (T.in_lists(where, doc, b.column("_bad")) if listed else known.find(where) >= 0)
             lost = np.bincount(doc[bad], weights=n[bad], minlength=len(lf) - 1).astype(np.int64)
-            columns = {name: b.column(name) for name in b.schema.names}
+            columns = {name: b.column(name) for name in b.schema.names if name != "_bad"}
             if first_pass:
                 columns |= {f"_{k}": pa.array(np.asarray(v, np.int64)) for k, v in zip(_MEASURES, _measure(data, offsets))}
                 columns["_lost"] = pa.array(lost)
@@ -168,11 +191,13 @@ def apply_rules(docs: DataFrame, host: str = "source", rules: Rules = Rules(), w
     n = seen(lines)
     rounds = max(1, -(-n // rules.lines_a_pass))
     out = docs.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(payload)], "text", F.col(host).cast("string").alias(_HOST))
+    if rounds > rules.passes:
+        out, n, rounds = _with_frequent(out, lines, "_p0" if payload else _HOST), 0, 1
     for k in range(rounds):
         chunk = lines if rounds == 1 else lines.filter(F.pmod(F.xxhash64("line"), F.lit(rounds)) == k)
         keys = chunk.toArrow().column("line").to_numpy().view(np.uint64) if n else np.zeros(0, np.uint64)
         f = _pass(keys, k == 0, with_text)
-        fields = [f"`{c}` {t}" for c, t in out.dtypes]
+        fields = [f"`{c}` {t}" for c, t in out.dtypes if c != "_bad"]
         if k == 0:
             fields += [f"_{m} long" for m in _MEASURES] + ["_lost long"]
         if k == rounds - 1 and not with_text:
