@@ -20,7 +20,7 @@ from ._cluster import BROADCAST_ROWS, discard, materialize
 #: Words in a block; documents in a shard, about; most times that a source's words are taken.
 BLOCK, SHARD_DOCS, CAP = 64, 20_000, 3
 #: Shards that are apportioned on the driver, about, besides one a source: shards grow where the documents are too many for more.
-MAX_SHARDS = 50_000
+MAX_SHARDS = 1_000_000
 
 
 def n_words(text):
