@@ -92,6 +92,15 @@ def settle(df: DataFrame, name: str, before: DataFrame | None = None) -> DataFra
     return out
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect their garbage and give the heap that it filled back to the system, one task a core.
+
+    A heap that one stage has grown doesn't shrink by itself, and would stand beside the Python workers of the next.
+    """
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, cores, 1, cores).selectExpr("java_method('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
+
+
 def clear_shared(spark: SparkSession) -> None:
     """Delete all that this package has written to the shared folder; results not yet written elsewhere can't be read after it."""
     delete(spark, f"{shared_dir(spark)}/vecloom")
