@@ -395,6 +395,30 @@ def test_running_top_k(tmp_path, monkeypatch, index_bytes, kept_bytes):
             assert len(found) <= 9 * 5 * len(sides)
 
 
+@pytest.mark.parametrize("marked", [False, True])
+def test_running_top_k_holds_few_pairs(tmp_path, marked):
+    """A chunk of many rows against a whole block of queries: similarities are never all there at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(6)
+    q, x = rng.normal(size=(1_000, 8)), rng.normal(size=(30_000, 8))
+    pq.write_table(pa.table({"qid": range(1_000), "vec": q.tolist()}), tmp_path / "q.parquet")
+    t = pa.table({"label": list(range(30_000)), "pos": list(range(30_000)), "vec": x.tolist()})
+    near = (lambda a, b: np.ones((len(a["vec"]), len(b["vec"])), bool)) if marked else None
+    run = knn._partial(f"file://{tmp_path}", 10, Q.FLOAT, {0: near}, [], 9, None)
+    batches = t.to_batches(max_chunksize=5_000)
+    tracemalloc.start()
+    found = [b for b in run(iter(batches))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in found) == 10_000 and peak < 100 << 20  # all pairs are 240 MB
+    got = {(r["qid"], r["label"]) for b in found for r in b.to_pylist()}
+    assert {(i, int(j)) for i in range(0, 1_000, 100) for j in np.argsort(-(x @ q[i]))[:10]} <= got
+
+
 def test_windowed_topk_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     day0 = dt.date(2000, 1, 1)
