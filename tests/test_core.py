@@ -97,6 +97,17 @@ def test_engines_agree_and_ties_go_to_position(spark):
     assert key(knn.topk(q, packed, 5, spec=spec)) == key(knn.topk(q, packed, 5, spec=spec, engine="sql"))
 
 
+def test_sql_engine_makes_no_pairs_of_many_queries(spark):
+    rng = np.random.default_rng(8)
+    idx = index_of(spark, rng.normal(size=(200, 8)))
+    q = idx.select(F.col("label").alias("qid"), "vec")
+    key = lambda d: sorted((r.qid, r.rank, r.label, round(r.sim, 9)) for r in d.collect())
+    joins = lambda d: "NestedLoopJoin" in d._jdf.queryExecution().executedPlan().toString()
+    few, many = (knn.topk(q.filter(c), idx, 3, engine="sql") for c in ("qid < 10", "qid < 150"))
+    assert joins(few) and not joins(many)
+    assert key(many) == key(knn.topk(q.filter("qid < 150"), idx, 3))
+
+
 def test_approximate_search_recall(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(8, 16))
