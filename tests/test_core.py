@@ -573,6 +573,29 @@ def test_first_rows_of_files(spark, tmp_path):
     assert [r.title for r in got.collect()] == [f"0-{k}" for k in range(4)] + ["1-0", "1-1"]
 
 
+def test_many_small_files_take_few_tasks(spark, tmp_path):
+    """Files are listed and read in tasks, as Spark's own source finds them, and dealt out by number, not four megabytes a file."""
+    from vecloom.sources import files
+
+    for k in range(400):
+        at = tmp_path / f"d{k % 7}" / f"e={k % 3}"
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"f{k}.txt").write_text(f"text {k}")
+        (at / f"f{k}.md").write_text("other")
+    for name in (".hidden.txt", "_temporary.txt", "_a=1.txt", "[x] y%20z.txt"):
+        (tmp_path / "d0" / name).write_text(name)
+    (tmp_path / "_gone").mkdir()
+    (tmp_path / "_gone" / "f.txt").write_text("gone")
+    for pattern in ("*.txt", "f{1,2}?.*", "[!f]*"):
+        own = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(str(tmp_path))
+        got = files._binary(spark, str(tmp_path), pattern)
+        assert sorted(map(tuple, got.select(own.columns).collect())) == sorted(map(tuple, own.collect())) and got.count() > 0
+    assert files.read_documents(spark, str(tmp_path), "*.txt").rdd.getNumPartitions() <= 8
+    assert files.list_files(spark, f"{tmp_path}/d*", "*.txt").count() == 402
+    with pytest.raises(FileNotFoundError):
+        files.list_files(spark, f"{tmp_path}/none")
+
+
 def test_similarity_matrix_is_for_bounded_queries(spark, monkeypatch):
     monkeypatch.setattr(knn, "VECTOR_BYTES", 200)
     index = index_of(spark, np.eye(3).tolist())
