@@ -379,6 +379,37 @@ def test_edit_scripts_are_shortest(a, b):
     assert len(ops) == cost[len(a), len(b)] and apply_script(a, b, ops) == b
 
 
+def test_edit_scripts_of_long_texts_hold_few_rows(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(0, 50, 3_000).tolist(), rng.integers(0, 50, 3_000).tolist()
+    tracemalloc.start()
+    ops = report.edit_script(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert apply_script(a, b, ops) == b and peak < 12 << 20  # the whole table is 36 MB
+    short = [(rng.integers(0, 4, rng.integers(0, 30)).tolist(), rng.integers(0, 4, rng.integers(0, 30)).tolist()) for _ in range(100)]
+    whole = [report.edit_script(x, y) for x, y in short]
+    monkeypatch.setattr(report, "SCRIPT_CELLS", 0)
+    assert [report.edit_script(x, y) for x, y in short] == whole
+
+
+def test_tokenizer_parity_holds_few_tokens(spark):
+    """Tokenizers are given some texts of a batch at a time, in windows and in comparisons."""
+    import public_tokenizers
+
+    one, other = (public_tokenizers.path(f"{x}.json") for x in ("word_bpe_49k", "byte_bpe_50k"))
+    texts = ["word " * 40_000, "x", None, "", *["some text of words " * 200] * 300]
+    blocks = list(embed.in_blocks([t or "" for t in texts]))
+    assert [t for b in blocks for t in b] == [t or "" for t in texts]
+    assert max(sum(map(len, b)) for b in blocks) <= embed.TOKENIZED_CHARS
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:40])], "id int, text string")
+    pairs = report.edit_operations(df.select("id", report.tokens_of(F.substring("text", 1, 50), one).alias("a"), report.tokens_of(F.substring("text", 1, 50), other).alias("b")))
+    assert sorted(map(tuple, report.tokenizer_parity(df, one, other, 50).collect())) == sorted(map(tuple, pairs.collect()))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
+
+
 @pytest.mark.parametrize(("index_bytes", "kept_bytes"), [(1 << 30, 1 << 30), (600, 1 << 30), (600, 0)])
 def test_running_top_k(tmp_path, monkeypatch, index_bytes, kept_bytes):
     """In one chunk, in many chunks, and without room to keep results, a task gives all that the merged top k needs; ties go to position."""
