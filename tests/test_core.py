@@ -476,6 +476,26 @@ def test_windowed_topk_matches_brute_force(spark):
                 assert getattr(got[i], f"{side}_{k}") == (pytest.approx(np.mean(sims[:k])) if sims else None)
 
 
+@pytest.mark.parametrize(("pairs", "kept"), [(1 << 20, 64 << 20), (64, 1)])
+def test_windowed_topk_leaves_tasks_final(spark, monkeypatch, pairs, kept):
+    """Each focal row has at most k results a side, however many tasks there are, and they are the best."""
+    monkeypatch.setattr(knn, "PAIRS", pairs)
+    monkeypatch.setattr(knn, "KEPT_BYTES", kept)
+    rng = np.random.default_rng(7)
+    days, v = rng.integers(0, 300, 600), rng.integers(-3, 4, (600, 4)).astype(float)
+    df = spark.createDataFrame([(i, int(days[i]), v[i].tolist()) for i in range(600)], "label int, day int, vec array<double>").repartition(3)
+    out = knn.window_topk(df, df, 100, 5)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in out.collect():
+        got.setdefault((r.qid, r.side), []).append((r.rank, r.sim))
+    gap, sims = days[None, :] - days[:, None], v @ v.T
+    for i in range(600):
+        for side, ok in enumerate(((gap[i] <= 0) & (gap[i] > -100), (gap[i] > 0) & (gap[i] <= 100))):
+            want = sorted(sims[i][ok], reverse=True)[:5]
+            assert [s for _, s in sorted(got.get((i, side), []))] == want and len(got.get((i, side), [])) == len(want)
+
+
 def test_running_sums_of_a_hot_group(spark):
     rows = [(None if i % 11 == 0 else "hot" if i % 3 else "cold", i, i % 5) for i in range(400)]
     df = spark.createDataFrame(rows, "g string, id int, n int")
