@@ -461,6 +461,24 @@ def test_running_top_k_holds_few_pairs(tmp_path, marked):
     assert {(i, int(j)) for i in range(0, 1_000, 100) for j in np.argsort(-(x @ q[i]))[:10]} <= got
 
 
+@pytest.mark.parametrize("names", [False, True])
+def test_two_stage_search_of_many_queries_makes_no_pairs(spark, monkeypatch, names):
+    rng = np.random.default_rng(12)
+    v, d = np.round(rng.normal(size=(400, 4)), 1), rng.normal(size=(9, 4))
+    chunks = index_of(spark, v, [i % 9 for i in range(400)])
+    docs = index_of(spark, d).drop("grp")
+    if names:
+        chunks, docs = chunks.withColumn("grp", F.concat(F.lit("d"), "grp")), docs.withColumn("label", F.concat(F.lit("d"), "label"))
+    q = index_of(spark, v[:150]).select(F.col("label").alias("qid"), "vec")
+    key = lambda x: sorted((r.qid, r.rank, r.label, round(r.sim, 9)) for r in x.collect())
+    many = db.two_stage(q, docs, chunks, 3, 7)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(knn, "SQL_QUERIES", 1_000)
+    joined = db.two_stage(q, docs, chunks, 3, 7)
+    assert key(many) == key(joined) and len(key(many)) == 150 * 7
+    assert "zip_with" not in plan and "zip_with" in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_windowed_topk_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     day0 = dt.date(2000, 1, 1)
