@@ -642,6 +642,26 @@ def test_first_rows_of_files(spark, tmp_path):
     assert [r.title for r in got.collect()] == [f"0-{k}" for k in range(4)] + ["1-0", "1-1"]
 
 
+def test_jsonl_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    """The registered query's files, in order of their paths, hold the documents in order."""
+    import json
+
+    from vecloom.plans import stored
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("needs the test tables")
+    monkeypatch.setattr(stored, "_fresh", lambda spark, name: f"{tmp_path}/{name}")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = [r.label for r in queries()["jsonl_database"](spark, d).orderBy("pos").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    written = sorted((tmp_path / "jsonl").glob("*.json"))
+    titles = [int(json.loads(line)["title"]) for f in written for line in f.read_text().splitlines()]
+    assert len(written) > 1 and titles == sorted(titles) and got == [str(x) for x in titles[:100]]
+
+
 def test_many_small_files_take_few_tasks(spark, tmp_path):
     """Files are listed and read in tasks, as Spark's own source finds them, and dealt out by number, not four megabytes a file."""
     from vecloom.sources import files
