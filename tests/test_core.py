@@ -693,6 +693,27 @@ def test_similarity_matrix_is_for_bounded_queries(spark, monkeypatch):
     assert knn.topk(index.select(F.col("label").alias("qid"), "vec"), index, 1).count() == 3
 
 
+def test_similarity_matrix_of_many_queries_is_no_join(spark, monkeypatch):
+    """The rows of a join, by blocks: also where a vector, or a number in one, is missing, and with rounding."""
+    rng = np.random.default_rng(3)
+    vecs = [*rng.normal(size=(9, 4)).tolist(), None, [1.0, None, 0.0, 0.0], [0.5, 0.0, 0.0, 0.0], [-0.015625] * 4]
+    index = spark.createDataFrame([(i, i % 2, i, v) for i, v in enumerate(vecs)], "label long, grp int, pos long, vec array<double>")
+    asked = index.select(F.col("label").cast("string").alias("qid"), "vec")
+    codes = I.quantized(index.filter("label < 9"), Q.QuantSpec.from_width("qint4", -2.0, 2.0))
+    for groups in (None, [1]):
+        for digits in (None, 3):
+            for rows, spec in ((index, Q.FLOAT), (codes, Q.QuantSpec.from_width("qint4", -2.0, 2.0))):
+                got = []
+                for most in (64, 2):
+                    monkeypatch.setattr(knn, "SQL_QUERIES", most)
+                    df = knn.similarity(asked, rows, groups, spec, digits)
+                    got.append({(r.qid, r.label, r.pos): r.sim for r in df.collect()})
+                assert got[0].keys() == got[1].keys() and len(got[0]) > 0
+                assert all(b is None if a is None else a == pytest.approx(b, abs=1e-12) for a, b in ((got[0][k], got[1][k]) for k in got[0]))
+                plan = df._jdf.queryExecution().executedPlan().toString()
+                assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_changed_stream(spark, tmp_path):
     """A name's row comes when it is new or newer than in all batches before, within a run and after a restart."""
     from vecloom.streaming import upserts
