@@ -714,6 +714,25 @@ def test_similarity_matrix_of_many_queries_is_no_join(spark, monkeypatch):
                 assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_parts_are_brought_together_in_their_tasks(spark):
+    """A long text's parts leave their task as one vector, without a shuffle, whatever batches they come in; keys given twice are brought together after."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["ab", "c", "def", "g h", "ij"], n)) for n in (1, 400, 3, 90, 7)] + ["", None, "..."]
+    e = embed.HashEmbedder(16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for keys in (range(8), [0, 1, 1, 2, 0, None, None, 5]):
+            df = spark.createDataFrame(list(zip(keys, texts)), "k int, t string").coalesce(2)
+            parts = df.select("k", F.explode_outer(X.slices(F.coalesce("t", F.lit("")), 10)).alias("p")).select("k", e.column("p").alias("vec"))
+            want = {r.k: r.vec for r in A.signed_square_mean(parts, ["k"]).collect()}
+            out = embed.embed_long(df, "k", "t", e, 10)
+            got = {r.k: r.vec for r in out.collect()}
+            assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+            assert ("Exchange" in out._jdf.queryExecution().executedPlan().toString()) == (None in keys)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_changed_stream(spark, tmp_path):
     """A name's row comes when it is new or newer than in all batches before, within a run and after a restart."""
     from vecloom.streaming import upserts
