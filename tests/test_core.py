@@ -733,6 +733,26 @@ def test_parts_are_brought_together_in_their_tasks(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_labels_given_once_are_added_without_gathering_texts(spark):
+    """Rows as the general way gives them: places by ord, a later add overwrites, a label given twice or without an ord goes the general way."""
+    rows = [(7, "a b", "x", 3), (2, None, None, 1), (5, "", "y", 9), (1, "c d e", "x", 2)]
+    make = lambda r: spark.createDataFrame(r, "label long, text string, grp string, ord long")
+    one = db.TextDB.create(spark, label="long").add(make(rows))
+    general = db.replace(db.TextDB.create(spark, label="long"), empty=False).add(make(rows))
+    got = [tuple(r) for r in one.rows.orderBy("pos").collect()]
+    assert got == [tuple(r) for r in general.rows.orderBy("pos").collect()] and [r[0] for r in got] == [2, 1, 7, 5]
+    assert one.rows.dtypes == general.rows.dtypes
+    assert "max_by" not in one.rows._jdf.queryExecution().executedPlan().toString()
+    twice = one.add(make([(2, "new", "z", 0), (9, "f", "z", 1)]))
+    assert [(r.label, r.pos, r.text) for r in twice.rows.orderBy("pos").collect()] == [(2, 0, "new"), (1, 1, "c d e"), (7, 2, "a b"), (5, 3, ""), (9, 4, "f")]
+    for odd in (rows + [(7, "last", "x", 10)], rows + [(8, "t", "x", None)], rows + [(None, "t", "x", 4)]):
+        db_ = db.TextDB.create(spark, label="long").add(make(odd))
+        want = db.replace(db.TextDB.create(spark, label="long"), empty=False).add(make(odd))
+        assert sorted(map(str, db_.rows.collect())) == sorted(map(str, want.rows.collect()))
+    merged = db.TextDB.merge([db.TextDB.create(spark, label="long"), one])
+    assert not merged.empty and merged.clear().empty and merged.add(make([(7, "n", "x", 0)])).count() == 4
+
+
 def test_changed_stream(spark, tmp_path):
     """A name's row comes when it is new or newer than in all batches before, within a run and after a restart."""
     from vecloom.streaming import upserts
