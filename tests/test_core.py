@@ -753,6 +753,27 @@ def test_labels_given_once_are_added_without_gathering_texts(spark):
     assert not merged.empty and merged.clear().empty and merged.add(make([(7, "n", "x", 0)])).count() == 4
 
 
+def test_documents_given_once_are_chunked_where_they_are_read(spark):
+    docs = [(3, "one two\nthree\n\nfour", 0), (1, "five", 0), (2, None, 0), (4, "\n", 0), (5, "one\nsix six", 0)]
+    make = lambda r: spark.createDataFrame(r, "doc long, text string, ord int")
+    one = db.DocumentDB.create(spark, doc="long").add(make(docs))
+    general = db.replace(db.DocumentDB.create(spark, doc="long"), empty=False).add(make(docs + [(1, "old", -1)]))
+    by = lambda df, *k: [tuple(r) for r in df.orderBy(*k).collect()]
+    assert by(one.chunks, "doc", "chunk_no") == by(general.chunks, "doc", "chunk_no") and len(by(one.chunks, "doc")) == 6
+    parts = one.chunks.select("doc", one.embedder.column("text").alias("vec"))
+    want = dict(by(A.centroids(parts, ["doc"]), "doc"))
+    for some in (one, general):
+        got = dict(by(some.docs, "doc"))
+        assert got.keys() == want.keys() == {1, 3, 5} and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    for df in (one.chunks, one.docs):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "max_by" not in plan
+    again = one.add(make([(1, "seven\neight", 0)]))
+    assert again.chunks.filter("doc = 1").count() == 2 and again.docs.count() == 3 and not one.remove([1]).empty
+    other = db.replace(one, embedder=type("Plain", (), {"name": "hash-64", "dims": 64, "column": staticmethod(one.embedder.column)})())
+    assert dict(by(other.clear().add(make(docs)).docs, "doc")).keys() == want.keys()
+
+
 def test_changed_stream(spark, tmp_path):
     """A name's row comes when it is new or newer than in all batches before, within a run and after a restart."""
     from vecloom.streaming import upserts
